@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import encode, split
+from threadloom.llm import encode, language, leakage, neighbours, split
 from threadloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +39,41 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunk vectors of which one is among the five nearest of the other."""
+    near = neighbours.nearest_neighbours(table(spark, sf_dir, "chunk_vectors", "vec_id", "embedding"))
+    return neighbours.similar_pairs(near).select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a third or more of an evaluation item."""
+    return leakage.leaks(
+        table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text")
+    ).select("doc_id", "item_id")
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole sentence of every document with its language and confidence."""
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return language.segments(documents, language.fit(documents))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents that are mixed, or whose label is missing or wrong."""
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = language.document_languages(language.segments(documents, language.fit(documents)))
+    return language.mislabelled(documents, found).select("doc_id", "lang")
+
+
+QUERIES: dict[str, Query] = {
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_segments": p9_segments,
+}
 
 ORACLES: dict[str, str] = {
     "p6_found": r"""
