@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import encode, language, leakage, neighbours, split
+from threadloom.llm import encode, language, leakage, names, neighbours, split
 from threadloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,24 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.distinct_names(
+        table(spark, sf_dir, "entity_mentions", "mailbox_id", "entity_type", "mention_text", "canonical_name"),
+        table(spark, sf_dir, "email_messages", "mailbox_id", "sender"),
+    )
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of one person or organisation within a mailbox."""
+    return names.linked_pairs(names.link_names(_names(spark, sf_dir)))
+
+
+def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical spelling of every name of a mailbox."""
+    found = _names(spark, sf_dir)
+    return names.canonical_names(names.link_names(found), found)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunk vectors of which one is among the five nearest of the other."""
     near = neighbours.nearest_neighbours(table(spark, sf_dir, "chunk_vectors", "vec_id", "embedding"))
@@ -66,6 +84,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_canonical": p1_canonical,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
