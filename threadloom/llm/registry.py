@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import encode, language, leakage, names, neighbours, split
+from threadloom.llm import encode, language, leakage, names, neighbours, quoted, split
 from threadloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,18 @@ def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.canonical_names(names.link_names(found), found)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of e-mail bodies that their sender didn't newly write."""
+    messages = table(spark, sf_dir, "email_messages", "msg_key", "mailbox_id", "message_id", "sender", "sent_at", "body_text")
+    return quoted.line_classes(messages).where("class <> 'new' and filled").select("msg_key", "line_no")
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four segment texts of every message."""
+    messages = table(spark, sf_dir, "email_messages", "msg_key", "mailbox_id", "message_id", "sender", "sent_at", "body_text")
+    return quoted.segments(messages)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunk vectors of which one is among the five nearest of the other."""
     near = neighbours.nearest_neighbours(table(spark, sf_dir, "chunk_vectors", "vec_id", "embedding"))
@@ -86,6 +98,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_canonical": p1_canonical,
+    "p2_found": p2_found,
+    "p2_segments": p2_segments,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
