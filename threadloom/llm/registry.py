@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import encode, language, leakage, names, neighbours, quoted, split
+from threadloom.llm import encode, language, leakage, names, neighbours, quoted, scans, split
 from threadloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,19 @@ def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quoted.segments(messages)
 
 
+_PAGE_COLUMNS = ("page_key", "attachment_id", "filename", "page_no", "text", "ocr_used")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Furniture lines, broken words and misread words of scanned pages with their repair."""
+    return scans.Repair(table(spark, sf_dir, "attachment_pages", *_PAGE_COLUMNS)).found()
+
+
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repaired paragraphs of scanned pages."""
+    return scans.Repair(table(spark, sf_dir, "attachment_pages", *_PAGE_COLUMNS)).text()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunk vectors of which one is among the five nearest of the other."""
     near = neighbours.nearest_neighbours(table(spark, sf_dir, "chunk_vectors", "vec_id", "embedding"))
@@ -100,6 +113,8 @@ QUERIES: dict[str, Query] = {
     "p1_canonical": p1_canonical,
     "p2_found": p2_found,
     "p2_segments": p2_segments,
+    "p4_found": p4_found,
+    "p4_text": p4_text,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
