@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.operators import delivery_dedup
+from threadloom.plans import library
 from threadloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +22,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.select("delivery_id")
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found}
+QUERIES: dict[str, Query] = {"p3_found": p3_found} | library.QUERIES
 
 ORACLES: dict[str, str] = {
     "p3_found": """
@@ -38,4 +39,4 @@ ORACLES: dict[str, str] = {
           FROM k WHERE message_key IS NOT NULL)
         SELECT delivery_id FROM r WHERE n > 1
     """,
-}
+} | library.ORACLES
