@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.text import tokenize
+from threadloom.runtime import materialize, spread
 
 
 def postings(chunks: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, term, tf, dl): the inverted index; one shuffle on (key, term)."""
-    words = chunks.select(key, tokenize(F.lower(text)).alias("ts"))
+    words = spread(chunks).select(key, tokenize(F.lower(text)).alias("ts"))
     return words.select(key, F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
 
 
@@ -31,8 +32,9 @@ def bm25(
     Statistics cover the whole corpus. A negative idf becomes epsilon times the mean
     idf. Query terms count as often as they occur.
     """
-    index = postings(chunks, key, text)
-    n, avgdl = chunks.agg(F.count("*"), F.avg(F.size(tokenize(F.lower(text))))).first()
+    index = materialize(postings(chunks, key, text), "postings")
+    n = chunks.count()
+    avgdl = (index.agg(F.sum("tf")).first()[0] or 0) / max(n, 1)
     idf = index.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = (idf.agg(F.avg("idf")).first()[0] or 0.0) * epsilon
     terms = queries.select("query_id", F.explode(tokenize(F.lower(F.col(query)))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
