@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from threadloom.runtime import spread
+
 #: where the vocabulary files lie on every node; override per call on a cluster
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: code points handed to the library at once, so that a batch of long texts can't pile up
@@ -84,7 +86,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabu
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
 
     out = StructType([StructField("key", key_type), StructField("ids", ArrayType(IntegerType()))])
-    return documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, out).withColumnRenamed("key", key)
+    return spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, out).withColumnRenamed("key", key)
 
 
 def _spans(text: str, encoding, token_bytes: dict[int, bytes]) -> list[tuple[int, int, int, int]]:
@@ -128,7 +130,7 @@ def encode_with_offsets(
                 ["key", "ids", "char_spans", "byte_spans"],
             )
 
-    return documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, out).withColumnRenamed("key", key)
+    return spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, out).withColumnRenamed("key", key)
 
 
 def decode(ids: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:

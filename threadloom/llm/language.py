@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.runtime import spread
+
 # Names and codes of each language in ISO 639-1, 639-2 (B and T) and English/native.
 NOTATIONS: dict[str, tuple[str, ...]] = {
     "en": ("en", "eng", "english"),
@@ -187,7 +189,7 @@ class Model:
         return (sizes[0][1] if confidence >= self.narrow else None), confidence
 
 
-def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", train_docs: int = 1500) -> Model:
+def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", train_docs: int = 250) -> Model:
     """Dictionaries from at most ``train_docs`` labelled documents a language."""
     low = Window.partitionBy("code").orderBy(F.xxhash64(F.col(key)), F.col(key))
     sample = (
@@ -204,7 +206,7 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", label: st
         if found:  # copies of a text fall into the same half
             halves[crc32(found[0].encode()) % 2].setdefault(r["code"], []).append(found)
     kept = [{lang: [t for d in docs for t in d] for lang, docs in h.items()} for h in halves]
-    for _ in range(3):
+    for _ in range(2):
         models = [Model(k) for k in kept]
         kept = [
             {lang: [t for d in docs for t in models[1 - i].agreeing(d, lang)] for lang, docs in halves[i].items()}
@@ -242,7 +244,7 @@ def segments(documents: DataFrame, model: Model, key: str = "doc_id", text: str
 
     kind = documents.schema[key].dataType.simpleString()
     return (
-        documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")))
         .mapInArrow(run, f"key {kind}, segment int, start int, `end` int, lang string, confidence double")
         .withColumnRenamed("key", key)
     )

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.language import fold
+from threadloom.runtime import spread
 
 #: words in a seed; a leaked passage with one word in five altered still has several
 SEED = 4
@@ -266,7 +267,7 @@ def leaks(
                     ["doc", "item", "coverage", "matched_words", "passages"],
                 )
 
-        return documents.select(F.col(doc_key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
+        return spread(documents.select(F.col(doc_key).alias("doc"), F.col(text).alias("text"))).mapInArrow(run, schema)
 
     if not blocks:
         found = spark.createDataFrame([], schema)

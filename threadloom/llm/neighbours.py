@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.runtime import materialize
+from threadloom.runtime import materialize, spread
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -112,7 +112,7 @@ def _usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
                     out.append((a + np.float32(0)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "vec"])
 
-    return vectors.select(F.col(key).cast("bigint"), F.col(embedding).cast("array<float>")).mapInArrow(run, "id bigint, vec binary")
+    return spread(vectors.select(F.col(key).cast("bigint"), F.col(embedding).cast("array<float>"))).mapInArrow(run, "id bigint, vec binary")
 
 
 def _matrix(column) -> np.ndarray:

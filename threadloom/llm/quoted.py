@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.llm.language import fold
-from threadloom.runtime import materialize
+from threadloom.runtime import materialize, spread
 
 NEW, QUOTED, SIGNATURE, NOTICE, OPEN = "new", "quoted", "signature", "notice", "open"
 
@@ -443,7 +443,7 @@ def marked_lines(messages: DataFrame, key: str = "msg_key") -> DataFrame:
             )
 
     unit = "array<struct<unit: bigint, line: int>>"
-    return messages.select(*kept, "body_text").mapInArrow(
+    return spread(messages.select(*kept, "body_text")).mapInArrow(
         run,
         f"{key} {kind}, mailbox_id string, message_id string, sender string, sent_at timestamp, kinds string, opened {unit}, authored array<bigint>, tail {unit}",
     )

@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.runtime import spread
+
 TOKEN = r"[\p{L}\p{N}_]"
 GAP = r"[^\p{L}\p{N}_]"
 
@@ -88,7 +90,7 @@ def split_oversized(
         back = F.coalesce(*[F.when(f > 0, f) for f in found], F.lit(0))
     kept = [c for c in rows.columns if c != "_steps" and c != "_starts"]
     cut = (
-        rows.where(F.col(text).isNotNull())
+        spread(rows.where(F.col(text).isNotNull()))
         .withColumn("_steps", steps)
         .withColumn("_starts", starts)
         .select("*", F.posexplode("_steps").alias("piece_no", "_step"))
