@@ -78,6 +78,9 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, key: str, embedding: str
     parts = []
     for n in range(max(1, -(-total // block))):
         rows = numbered.where(F.col("block") == n).select("query_id", embedding).collect()
+        rows = [r for r in rows if r[1]]
+        if not rows:
+            continue
         ids = np.array([r[0] for r in rows if r[1] is not None], np.int64)
         q = np.array([r[1] for r in rows if r[1] is not None], np.float64).reshape(len(ids), -1)
         norm = np.linalg.norm(q, axis=1)
@@ -106,6 +109,8 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, key: str, embedding: str
             )
 
         parts.append(vectors.select(F.col(key).cast("bigint"), embedding).mapInArrow(run, "query_id bigint, key bigint, score double"))
+    if not parts:
+        return spark.createDataFrame([], f"query_id bigint, {key} bigint, score double, rank int")
     return top_k(reduce(DataFrame.unionByName, parts).withColumnRenamed("key", key), key, k)
 
 
