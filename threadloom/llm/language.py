@@ -200,11 +200,18 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", label: st
         .orderBy("code", "n")
         .collect()
     )
+    read = [(r["code"], [fold(s) for _, _, s in sentences(r["text"])]) for r in sample]
+    # a sentence that stands under several labels counts for the most frequent one only
+    votes: dict[str, Counter] = {}
+    for code, found in read:
+        for t in found:
+            votes.setdefault(t, Counter())[code] += 1
+    owner = {t: max(sorted(v), key=v.__getitem__) for t, v in votes.items()}
     halves: list[dict[str, list[list[str]]]] = [{}, {}]
-    for r in sample:
-        found = [fold(s) for _, _, s in sentences(r["text"])]
+    for code, found in read:
+        found = [t for t in found if owner[t] == code]
         if found:  # copies of a text fall into the same half
-            halves[crc32(found[0].encode()) % 2].setdefault(r["code"], []).append(found)
+            halves[crc32(found[0].encode()) % 2].setdefault(code, []).append(found)
     kept = [{lang: [t for d in docs for t in d] for lang, docs in h.items()} for h in halves]
     for _ in range(2):
         models = [Model(k) for k in kept]

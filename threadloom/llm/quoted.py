@@ -159,7 +159,7 @@ def classify(body: str | None, sender: str | None) -> tuple[list[str], int, list
         reach = 0
         if t[0] == "-" and _SEPARATOR.match(t):
             reach = 1
-        elif ":" in t[:12] and _FROM.match(t) and sum(bool(_HEADER.match(x.strip())) for x in text[i + 1 : i + 5]) >= 2:
+        elif ":" in t[:12] and _FROM.match(t) and _headers_follow(text, i):
             reach = 1
         else:
             for span in (1, 2, 3):
@@ -228,6 +228,16 @@ def classify(body: str | None, sender: str | None) -> tuple[list[str], int, list
     return out, (open_from if top else -1), text
 
 
+def _headers_follow(text: list[str], i: int) -> bool:
+    """At least two more header lines below a From line, before any empty line."""
+    n = 0
+    for x in text[i + 1 : i + 6]:
+        if not x.strip():
+            break
+        n += bool(_HEADER.match(x.strip()))
+    return n >= 2
+
+
 def _paragraphs(text: list[str], filled: list[bool], a: int, e: int) -> list[tuple[int, int]]:
     out, i = [], a
     while i < e:
@@ -519,7 +529,7 @@ def segments(messages: DataFrame, key: str = "msg_key") -> DataFrame:
         .join(messages.select(key, "body_text"), key)
         .withColumn("line", line)
         .groupBy(key)
-        .agg(*[F.trim(joined(c)).alias(name) for c, name in ((NEW, "authored_text"), (QUOTED, "quoted_text"), (SIGNATURE, "signature_text"), (NOTICE, "disclaimer_text"))])
+        .agg(*[F.regexp_replace(joined(c), r"^\s+|\s+$", "").alias(name) for c, name in ((NEW, "authored_text"), (QUOTED, "quoted_text"), (SIGNATURE, "signature_text"), (NOTICE, "disclaimer_text"))])
     )
     names = ("authored_text", "quoted_text", "signature_text", "disclaimer_text")
     return messages.select(key).join(parts, key, "left").select(key, *[F.coalesce(n, F.lit("")).alias(n) for n in names])
