@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from threadloom.functions import text as T
 from threadloom.operators import changes, corpus, graph, retrieval
+from threadloom.plans import answering
 from threadloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -672,3 +673,115 @@ def ext_event_windows(spark: SparkSession, d: str) -> DataFrame:
     """Hourly totals by kind (extension)."""
     e = table(spark, d, "events", "event_type", "ts", "value")
     return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("hour_start"), "events", "total")
+
+
+@query(
+    "ext_event_sessions",
+    """
+    WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+    s AS (SELECT user_id, ts, value, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+    SELECT user_id, min(ts)::TIMESTAMP AS started, count(*) AS events, round(sum(value), 4) AS total FROM s GROUP BY user_id, session
+    """,
+)
+def ext_event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of each user with a gap of six hours (extension)."""
+    e = table(spark, d, "events", "user_id", "ts", "value")
+    return (
+        e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w"))
+        .agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total"))
+        .select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), "events", "total")
+    )
+
+
+@query(
+    "filter_as_of",
+    """
+    WITH t AS (SELECT chunk_id, arg_min(struct_pack(t := thread_id), chunk_key).t AS thread_id FROM email_chunks GROUP BY 1),
+    f AS (SELECT mailbox_id, thread_id, mention_id, canonical_name AS value, row_number() OVER (PARTITION BY mailbox_id, thread_id ORDER BY created_at DESC, mention_id DESC) AS n
+          FROM entity_mentions JOIN t USING (chunk_id) WHERE entity_type = 'MONEY' AND created_at IS NOT NULL AND created_at <= TIMESTAMPTZ '2032-06-30 00:00:00+00')
+    SELECT mailbox_id, thread_id, mention_id, value FROM f WHERE n = 1
+    """,
+)
+def filter_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """The last amount known in each thread on a day."""
+    texts = table(spark, d, "email_chunks", "chunk_id", "chunk_key", "thread_id").groupBy("chunk_id").agg(F.min_by(F.struct("thread_id"), "chunk_key").alias("c"))
+    day = F.lit("2032-06-30T00:00:00Z").cast("timestamp")
+    m = table(spark, d, "entity_mentions", "mention_id", "mailbox_id", "chunk_id", "entity_type", "canonical_name", "created_at").where((F.col("entity_type") == "MONEY") & (F.col("created_at") <= day))
+    last = m.join(texts, "chunk_id").groupBy("mailbox_id", F.col("c.thread_id").alias("thread_id")).agg(F.max(F.struct("created_at", "mention_id", F.col("canonical_name").alias("value"))).alias("last"))
+    return last.select("mailbox_id", "thread_id", "last.mention_id", "last.value")
+
+
+@query(
+    "set_first_seen",
+    f"""WITH {BM25_SQL},
+    r AS (SELECT query_id, chunk_key, 0 AS route, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_key) AS pos FROM ov
+          UNION ALL SELECT query_id, chunk_key, 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_key) FROM bm),
+    f AS (SELECT query_id, chunk_key, min(route * 1000 + pos) AS seen FROM r WHERE pos <= 5 GROUP BY 1, 2)
+    SELECT query_id, chunk_key, (row_number() OVER (PARTITION BY query_id ORDER BY seen))::INT AS place FROM f""",
+)
+def set_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """Ordered union of two routes' lists: first the one, then what the other adds."""
+    lexical, recall = (retrieval.top_k(x, "chunk_key", 5) for x in _hits(spark, d))
+    routes = recall.select("query_id", "chunk_key", F.lit(0).alias("route"), "rank").unionByName(lexical.select("query_id", "chunk_key", F.lit(1).alias("route"), "rank"))
+    seen = routes.groupBy("query_id", "chunk_key").agg(F.min(F.struct("route", "rank")).alias("seen"))
+    return seen.select("query_id", "chunk_key", F.row_number().over(Window.partitionBy("query_id").orderBy("seen")).alias("place"))
+
+
+@query(
+    "agg_support",
+    ORACLES["topk_reranked"].replace("SELECT query_id, chunk_key, support, place::INT AS place FROM s WHERE place <= 5", "")
+    + " SELECT query_id, max(support) AS best, count(*) FILTER (support >= 0.55) AS supported, CASE WHEN count(*) FILTER (support >= 0.55) < 2 THEN 'insufficient_supported_chunks' WHEN max(support) < 0.7 THEN 'weak_support' END AS reason FROM s WHERE place <= 5 GROUP BY 1",
+)
+def agg_support(spark: SparkSession, d: str) -> DataFrame:
+    """Support of every question's evidence and why it would not do."""
+    n = F.count_if(F.col("support") >= 0.55)
+    hits = topk_reranked(spark, d).groupBy("query_id").agg(F.max("support").alias("best"), n.alias("supported"))
+    reason = F.when(F.col("supported") < 2, "insufficient_supported_chunks").when(F.col("best") < 0.7, "weak_support")
+    return hits.select("query_id", "best", "supported", reason.alias("reason"))
+
+
+@query(
+    "dml_delete_cascade",
+    "SELECT chunk_key FROM email_chunks c WHERE NOT EXISTS (SELECT 1 FROM email_messages m WHERE m.sent_at < TIMESTAMPTZ '2031-07-01 00:00:00+00' AND m.message_id = c.message_id AND m.mailbox_id = c.mailbox_id)",
+)
+def dml_delete_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks left after the messages before a day were deleted with all that depends on them."""
+    gone = table(spark, d, "email_messages", "message_id", "mailbox_id", "sent_at").where(F.col("sent_at") < F.lit("2031-07-01T00:00:00Z").cast("timestamp"))
+    return table(spark, d, "email_chunks", "chunk_key", "message_id", "mailbox_id").join(gone, ["message_id", "mailbox_id"], "left_anti").select("chunk_key")
+
+
+@query("doc_hash_vectors")
+def doc_hash_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Sparse unit vectors of hashed words of every chunk: 768 buckets."""
+    c = retrieval.postings(table(spark, d, "email_chunks", "chunk_key", "embed_text", "text"), "chunk_key", F.coalesce("embed_text", "text"))
+    b = c.groupBy("chunk_key", F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(768)).cast("int").alias("bucket")).agg(F.sum("tf").alias("n"))
+    return b.withColumn("weight", F.round(F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("chunk_key"))), 6)).drop("n")
+
+
+@query("qa_plan")
+def qa_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Routes, entity terms, subject terms and as-of day of every question."""
+    q = table(spark, d, "eval_items", "item_id", "question", "text").select(F.col("item_id").alias("query_id"), F.coalesce("question", "text").alias("query_text"))
+    return answering.plan_questions(q).drop("query_text")
+
+
+@query("qa_graph_branch")
+def qa_graph_branch(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that mention an entity term of a question, ranked by the terms they hold."""
+    q = table(spark, d, "eval_items", "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    terms = answering.plan_questions(q).select("query_id", F.explode("entity_terms").alias("t")).select("query_id", F.lower("t").alias("normalized_name")).distinct()
+    m = table(spark, d, "entity_mentions", "normalized_name", "chunk_id").distinct()
+    hits = terms.join(m, "normalized_name").groupBy("query_id", "chunk_id").agg(F.count("*").alias("terms"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("terms"), "chunk_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where("rank <= 20")
+
+
+@query("qa_clause_citations")
+def qa_clause_citations(spark: SparkSession, d: str) -> DataFrame:
+    """The best of five retrieved chunks as evidence of every evaluation passage's sentences."""
+    sentences = F.posexplode(T.fragments(F.col("text")))
+    clauses = table(spark, d, "eval_items", "item_id", "text").select(F.col("item_id").alias("query_id"), sentences.alias("n", "clause")).where("clause <> ''")
+    clauses = clauses.select("query_id", F.concat_ws("-", "query_id", "n").alias("clause_id"), "clause")
+    hits = topk_reranked(spark, d).select("query_id", "chunk_key", F.col("place").alias("evidence_no"))
+    evidence = hits.join(table(spark, d, "email_chunks", "chunk_key", "chunk_id", "text"), "chunk_key").select("query_id", "chunk_id", "text", "evidence_no")
+    return answering.supported_clauses(clauses, evidence)
