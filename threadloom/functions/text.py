@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN = r"([\p{L}\p{N}_]+)"
 # Patterns of amounts, dates and correction cues that validation and graph building share.
@@ -128,3 +132,56 @@ def token_windows(text: Column, size: int, overlap: int) -> Column:
     n, step = F.size(tokens), max(1, size - overlap)
     starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda s: (n > 0) & ((s == 0) | (s - step + size < n)))
     return F.transform(starts, lambda s, i: F.struct(i.alias("pos"), F.array_join(F.slice(tokens, s + 1, F.lit(size)), " ").alias("window")))
+
+
+def parse_when(text: Column, *formats: str) -> Column:
+    """Timestamp of a date string in any of the formats, ISO first, or of epoch milliseconds; else null."""
+    tries = [text.try_cast("timestamp"), *[F.try_to_timestamp(text, F.lit(f)) for f in formats]]
+    digits = F.when(text.rlike(r"^\d{12,14}$"), F.timestamp_millis(text.try_cast("bigint")))
+    return F.coalesce(digits, *tries)
+
+
+def sanitize_id(text: Column) -> Column:
+    """Characters that are safe in file names and keys; runs of others become one dash."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9._-]+", "-"), r"^-+|-+$", "")
+
+
+def url_path(url: Column) -> Column:
+    """Path of an address without its leading slash; null if it is none."""
+    return F.ltrim(F.try_parse_url(url, F.lit("PATH")), F.lit("/"))
+
+
+def alnum_density(text: Column, area: Column) -> Column:
+    """Letters and digits per unit of page area."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]")) / F.greatest(area, F.lit(1.0))
+
+
+def csv_list(text: Column) -> Column:
+    """Trimmed, non-empty parts of a comma-separated string; null gives the empty array."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x))
+    return F.filter(parts, lambda x: x != "")
+
+
+@F.pandas_udf(StringType())
+def _compatible(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()))
+
+
+@F.pandas_udf(StringType())
+def _casefold(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else t.casefold())
+
+
+def normalize_name(name: Column) -> Column:
+    """Display form of a name: compatibility characters resolved, single blanks, case kept.
+
+    ASCII names never leave the JVM.
+    """
+    plain = F.regexp_replace(F.trim(name), r"\s+", " ")
+    return F.when(name.rlike(r"^[\x20-\x7E\t\n\r]*$"), plain).otherwise(_compatible(name))
+
+
+def name_key(name: Column) -> Column:
+    """Case-folded key of a normalised name."""
+    shown = normalize_name(name)
+    return F.when(shown.rlike(r"^[\x20-\x7E]*$"), F.lower(shown)).otherwise(_casefold(shown))
