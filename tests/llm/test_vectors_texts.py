@@ -38,6 +38,29 @@ def test_neighbours_with_copies_and_gaps(spark):
         assert [got[250][r] for r in range(1, 6)] == want[250]
 
 
+@pytest.mark.parametrize("noise", [0.0, 1e-7, 1e-4])
+def test_neighbours_of_scaled_copies_and_dense_groups(spark, noise):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2400, 16))
+    x[rng.permutation(2400)[:2000]] = x[7]
+    x = ((x + noise * rng.normal(size=x.shape)) * rng.uniform(0.2, 5, size=(2400, 1))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(2400)], "vec_id long, embedding array<float>")
+    want = brute(list(range(2400)), x.astype(np.float64), 5)
+    got = {}
+    for r in neighbours.nearest_neighbours(df).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = r["neighbour"]
+    hit = sum([got[i].get(r) for r in range(1, 6)] == want[i] for i in want)
+    dense = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x[7] / np.linalg.norm(x[7])), 3) > 0.99
+    assert all([got[i].get(r) for r in range(1, 6)] == want[i] for i in np.flatnonzero(dense))
+    assert hit >= 0.93 * 2400  # the others are spread evenly, where lists not probed hold some
+
+
+def test_neighbours_ties_within_a_block():
+    score = np.array([[1.0, 0.5, 1.0, 1.0, 0.7], [0.1, 0.2, 0.2, 0.3, 0.2]])
+    assert neighbours.best_of(score, 2).tolist() == [[0, 2], [1, 3]]
+    assert neighbours.best_of(score, 9).tolist() == [[0, 1, 2, 3, 4]] * 2
+
+
 def test_neighbours_small_and_empty(spark):
     schema = "vec_id long, embedding array<float>"
     assert neighbours.nearest_neighbours(spark.createDataFrame([], schema)).count() == 0

@@ -1,14 +1,14 @@
-"""The k most cosine-similar vectors of every vector: inverted file with product quantisation.
-
-1. Equal vectors are folded into one class that keeps its k + 1 smallest ids: no
-   other copy can be among anybody's k nearest under the tie rule. Any group of
-   copies, however large, is thus one indexed vector and one query.
-2. Coarse centroids and residual codebooks are fitted on a bounded sample
-   (``train_rows``); every vector is then indexed: list number, code of its residual.
+"""The k most cosine-similar vectors of every vector: inverted file, exact scores.
+
+1. Vectors of one direction, equal up to an exact factor, are folded into one class
+   that keeps its k + 1 smallest ids: no other copy can be among anybody's k nearest
+   under the tie rule. Any group of such copies is one indexed vector and one query.
+2. Coarse centroids are fitted on a bounded sample (``train_rows``); centroids nearer
+   than ``apart`` become one, so copies whose directions differ by float rounding
+   only aren't dealt out to more lists than are probed. Every vector has a list.
 3. Each vector probes its ``probes`` nearest lists. A (list, member block, query
-   block) group holds at most ``block`` members and ``block`` queries; the asymmetric
-   distance table (query exact, members as codes) ranks the members, and the best
-   ``rerank`` are scored again with the exact vectors in double precision.
+   block) group holds at most ``block`` members and ``block`` queries; every query is
+   scored with every member in double precision, and ties keep the smaller ids.
 4. The best k + 1 of all probed lists are merged per query, and each member of the
    query's class leaves itself out.
 
@@ -23,6 +23,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -60,49 +61,42 @@ def _nearest(x: np.ndarray, c: np.ndarray, rows: int = 4096) -> tuple[np.ndarray
 
 
 class Index:
-    """Centroids and residual codebooks; a few hundred kB, sent with the tasks."""
-
-    def __init__(self, sample: np.ndarray, lists: int, parts: int = 16, codes: int = 256, rounds: int = 8):
-        rng = np.random.default_rng(7)
-        unit = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
-        self.centroids = _kmeans(unit, lists, rounds, rng)
-        residual = unit - self.centroids[_nearest(unit, self.centroids)[0]]
-        while unit.shape[1] % parts:
-            parts -= 1
-        width = unit.shape[1] // parts
-        some = residual[rng.permutation(len(residual))[: 256 * 64]]
-        self.books = [_kmeans(np.ascontiguousarray(some[:, i * width : (i + 1) * width]), codes, rounds, rng) for i in range(parts)]
-        self.width = width
-
-    def assign(self, unit: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-        """(probed lists, nearest first; residual codes) of each row."""
+    """Centroids; a few hundred kB to 2 MB, sent with the tasks."""
+
+    def __init__(self, sample: np.ndarray, lists: int, apart: float, rounds: int = 8):
+        unit = _unit(sample).astype(np.float32)
+        c = _kmeans(unit, lists, rounds, np.random.default_rng(7))
+        keep = np.ones(len(c), bool)
+        for at in range(0, len(c), 1024):
+            rows = c[at : at + 1024].astype(np.float64)
+            gap = (rows**2).sum(1)[:, None] + (c.astype(np.float64) ** 2).sum(1) - 2 * rows @ c.T.astype(np.float64)
+            keep[at : at + 1024] = ~np.tril(gap < apart**2, at - 1).any(1)
+        self.centroids = c[keep]
+
+    def assign(self, unit: np.ndarray, probes: int) -> np.ndarray:
+        """Probed lists of each row, nearest first."""
         half = (self.centroids**2).sum(1) / 2
         s = half - unit @ self.centroids.T
         probes = min(probes, s.shape[1])
         top = np.argpartition(s, probes - 1, axis=1)[:, :probes]
-        top = np.take_along_axis(top, np.argsort(np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
-        residual = unit - self.centroids[top[:, 0]]
-        code = np.stack(
-            [_nearest(residual[:, i * self.width : (i + 1) * self.width], b)[0] for i, b in enumerate(self.books)], axis=1
-        )
-        return top, code.astype(np.uint8)
+        return np.take_along_axis(top, np.argsort(np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
 
-    def table_scores(self, query: np.ndarray, home: int, code: np.ndarray) -> np.ndarray:
-        """Asymmetric scores: per query a table part x code, summed along each member's code.
 
-        The sum over parts of table look-ups equals one product with the decoded
-        residuals, which runs as a matrix product.
-        """
-        decoded = np.concatenate([b[code[:, i]] for i, b in enumerate(self.books)], axis=1)
-        return query @ (decoded + self.centroids[home]).T
+def best_of(score: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k greatest scores, in column order; of equal ones the first columns."""
+    k = min(k, score.shape[1])
+    least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+    above, equal = score > least, score == least
+    equal &= np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)
+    return np.nonzero(above | equal)[1].reshape(len(score), k)
 
 
 def _usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
-    """(id, vec binary): float32 bytes of each non-null, finite, non-zero vector."""
+    """(id, vec binary, vkey binary): float32 bytes of each non-null, finite, non-zero vector; key of its direction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
+            ids, out, keys = [], [], []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if i is None or not v.is_valid or len(v) == 0 or v.values.null_count:
                     continue
@@ -110,9 +104,10 @@ def _usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
                 if np.isfinite(a).all() and a.any():
                     ids.append(i)
                     out.append((a + np.float32(0)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "vec"])
+                    keys.append(md5((np.round(_unit(a[None])[0], 14) + 0.0).tobytes()).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(keys, pa.binary())], ["id", "vec", "vkey"])
 
-    return spread(vectors.select(F.col(key).cast("bigint"), F.col(embedding).cast("array<float>"))).mapInArrow(run, "id bigint, vec binary")
+    return spread(vectors.select(F.col(key).cast("bigint"), F.col(embedding).cast("array<float>"))).mapInArrow(run, "id bigint, vec binary, vkey binary")
 
 
 def _matrix(column) -> np.ndarray:
@@ -132,19 +127,20 @@ def nearest_neighbours(
     per_list: int = 64,
     max_lists: int = 8192,
     probes: int = 8,
-    rerank: int = 48,
     train_rows: int = 65536,
     block: int = 2048,
+    apart: float = 0.01,
 ) -> DataFrame:
     """(id, neighbour, rank, similarity): the k nearest of every usable vector.
 
     ``per_list`` fixes the mean list length, so work grows with the number of
-    vectors until ``max_lists`` is reached. ``train_rows`` bounds the sample the
-    quantisers are fitted on; everything else covers all rows.
+    vectors until ``max_lists`` is reached, or a dense group fills a list of its own.
+    ``train_rows`` bounds the sample the centroids are fitted on; everything else
+    covers all rows.
     """
     spark = vectors.sparkSession
     out = "id bigint, neighbour bigint, rank int, similarity double"
-    usable = materialize(_usable(vectors, key, embedding).withColumn("vkey", F.md5("vec")), "vectors")
+    usable = materialize(_usable(vectors, key, embedding), "vectors")
     sizes = usable.groupBy(F.length("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], out)
@@ -155,7 +151,7 @@ def nearest_neighbours(
         usable.withColumn("n", F.row_number().over(low))
         .where(F.col("n") <= k + 1)
         .groupBy("vkey")
-        .agg(F.sort_array(F.collect_set("id")).alias("ids"), F.first("vec").alias("vec"))
+        .agg(F.sort_array(F.collect_set("id")).alias("ids"), F.min_by("vec", "id").alias("vec"))
         .withColumn("cid", F.element_at("ids", 1)),
         "vector-classes",
     )
@@ -164,27 +160,19 @@ def nearest_neighbours(
     sampled = classes.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("vec")
     sample = _matrix([r[0] for r in sampled.limit(train_rows).collect()] or [r[0] for r in classes.select("vec").limit(1).collect()])
     lists = int(min(max_lists, max(1, total // per_list), len(sample)))
-    index = spark.sparkContext.broadcast(Index(sample, lists))
+    index = spark.sparkContext.broadcast(Index(sample, lists, apart))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
-                top, code = ix.assign(_unit(_matrix(b.column(1).to_pylist())).astype(np.float32), probes)
+                top = ix.assign(_unit(_matrix(b.column(1).to_pylist())).astype(np.float32), probes)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0),
-                        b.column(1),
-                        pa.array(list(top.astype(np.int32)), pa.list_(pa.int32())),
-                        pa.array([c.tobytes() for c in code], pa.binary()),
-                    ],
-                    ["cid", "vec", "probe", "code"],
+                    [b.column(0), b.column(1), pa.array(list(top.astype(np.int32)), pa.list_(pa.int32()))], ["cid", "vec", "probe"]
                 )
 
-    indexed = materialize(
-        classes.select("cid", "vec").mapInArrow(assign, "cid bigint, vec binary, probe array<int>, code binary"), "vector-index"
-    )
+    indexed = materialize(classes.select("cid", "vec").mapInArrow(assign, "cid bigint, vec binary, probe array<int>"), "vector-index")
     # a row a list at most: how many blocks its members and its queries make
     load = (
         indexed.select(F.posexplode("probe").alias("pos", "list"))
@@ -196,12 +184,12 @@ def nearest_neighbours(
     )
     span = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
     members = (
-        indexed.select("cid", "vec", "code", F.element_at("probe", 1).alias("list"))
+        indexed.select("cid", "vec", F.element_at("probe", 1).alias("list"))
         .join(load, "list")
         .withColumn("mb", F.pmod(F.xxhash64("cid"), F.col("member_blocks")).cast("int"))
         .withColumn("qb", span("query_blocks"))
-        .select("list", "mb", "qb", "cid", "vec", "code")
-        .toDF("list", "mb", "qb", "cid", "vec", "code")  # both sides of the cogroup come from one table
+        .select("list", "mb", "qb", "cid", "vec")
+        .toDF("list", "mb", "qb", "cid", "vec")  # both sides of the cogroup come from one table
     )
     queries = (
         indexed.select("cid", "vec", F.explode("probe").alias("list"))
@@ -217,20 +205,15 @@ def nearest_neighbours(
         empty = pd.DataFrame({"cid": pd.Series([], dtype="int64"), "other": pd.Series([], dtype="int64"), "similarity": pd.Series([], dtype="float64")})
         if not len(q) or not len(m):
             return empty
-        ix, home = index.value, int(m["list"].iloc[0])
         m = m.sort_values("cid")
         mx, mid = _unit(_matrix(m["vec"].tolist())), m["cid"].to_numpy()
-        code = np.frombuffer(b"".join(m["code"]), np.uint8).reshape(len(m), -1)
         parts = []
         for at in range(0, len(q), 512):
             qs = q.iloc[at : at + 512]
             qx, qid = _unit(_matrix(qs["vec"].tolist())), qs["cid"].to_numpy()
-            best = min(max(rerank, k + 1), len(m))
-            rough = ix.table_scores(qx.astype(np.float32), home, code)
-            top = np.sort(np.argpartition(-rough, best - 1, axis=1)[:, :best], axis=1)
-            exact = np.round(np.einsum("qd,qmd->qm", qx, mx[top]), 12)
-            order = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
-            ids = np.take_along_axis(mid[top], order, 1)
+            exact = np.round(qx @ mx.T, 12)
+            order = best_of(exact, k + 1)
+            ids = mid[order]
             parts.append(
                 pd.DataFrame(
                     {"cid": np.repeat(qid, order.shape[1]), "other": ids.ravel(), "similarity": np.take_along_axis(exact, order, 1).ravel()}
