@@ -45,3 +45,11 @@ def test_page_order_over_blank_and_missing_pages(spark):
     got, text = found(spark, rows)
     assert {g for g in got if g[2] == "hyphen"} == {(1, 0, "hyphen", "mountain")}
     assert text[(3, 0)] == "road of the town"
+
+
+def test_page_ends_over_many_blank_and_missing_pages(spark):
+    page = lambda key, no, text: (key, "a", "x.pdf", no, text, True, "")
+    rows = [page(1, 1, "Here ends the moun-"), page(2, 2, " "), page(3, 3, None), page(4, 4, "\n"), page(5, 5, "tain road of the con-"), page(6, 9, "tractor in the town"), (8, "c", "z.pdf", 1, "mountain road of the contractor", False, "")]
+    got, text = found(spark, rows)
+    assert {g for g in got if g[2] == "hyphen"} == {(1, 0, "hyphen", "mountain"), (5, 0, "hyphen", "contractor")}
+    assert text[(5, 0)].startswith("road of the") and text[(6, 0)] == "in the town"

@@ -206,6 +206,8 @@ def text_lines(pages: DataFrame, furnished: DataFrame) -> DataFrame:
 
     head: the broken beginning at the line's end; tail: its rest, the first word of the
     next text line; continued: the line starts with the rest of the line before.
+    The next line may stand any number of pages without text, or missing pages, further on;
+    pages without a number have no order, so nothing is joined over their ends.
     """
     lines = pages.select("page_key", "document", "page_no", "scanned", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.join(furnished.withColumn("is_furniture", F.lit(True)), ["page_key", "line_no"], "left").where("is_furniture is null").drop("is_furniture")
@@ -214,8 +216,8 @@ def text_lines(pages: DataFrame, furnished: DataFrame) -> DataFrame:
         .where("trim(line) <> ''")
         .where(F.col("line").rlike(r"\p{L}|\p{N}") | ~F.col("scanned"))
     )
-    # neighbours within the page by a window; over the page end by joining the page's number,
-    # one on or, where that page has no text, two on: no group is larger than a page
+    # neighbours within the page by a window; over the page end by a window over the document's
+    # pages that have text, a row each: no group is larger than a page's lines or a document's pages
     on_page = Window.partitionBy("page_key").orderBy("line_no")
     lines = lines.withColumn("next", F.lead("line").over(on_page)).withColumn("before", F.lag("line").over(on_page))
     ends = (
@@ -223,11 +225,8 @@ def text_lines(pages: DataFrame, furnished: DataFrame) -> DataFrame:
         .groupBy("document", "page_no")
         .agg(F.min_by("line", F.struct("page_key", "line_no")).alias("first"), F.max_by("line", F.struct("page_key", "line_no")).alias("last"))
     )
-    near = lambda step, name, edge: ends.select("document", (F.col("page_no") - step).alias("page_no"), F.col(edge).alias(name))
-    around = ends.select("document", "page_no")
-    for step, name, edge in ((1, "n1", "first"), (2, "n2", "first"), (-1, "p1", "last"), (-2, "p2", "last")):
-        around = around.join(near(step, name, edge), ["document", "page_no"], "left")
-    around = around.select("document", "page_no", F.coalesce("n1", "n2").alias("next_page"), F.coalesce("p1", "p2").alias("page_before"))
+    by_number = Window.partitionBy("document").orderBy("page_no")
+    around = ends.select("document", "page_no", F.lead("first").over(by_number).alias("next_page"), F.lag("last").over(by_number).alias("page_before"))
 
     def head(c: str):
         return F.regexp_extract(c, rf"([\p{{L}}@+0-9|\p{{M}}'’-]*[\p{{L}}@+0159])[{HYPHENS}]$", 1)
