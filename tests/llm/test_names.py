@@ -76,6 +76,30 @@ def test_large_families_are_resolved_around_their_keys(spark):
     assert got[0] == got[1] and len(got[0]) == 7
 
 
+def test_chains_and_ambiguous_initials_at_every_family_size(spark):
+    chain = ["Ilse Veskendorn", "Ilse Veskendorm", "Ilse Veskendarm", "Ilse Veskendarl"]
+    people = chain + ["I. Veskendorn", "A. Veskendarl", "Anton Veskendarl", "Amalie Veskendarl"]
+    mentions = spark.createDataFrame([("m", "PERSON", n, n, "") for n in people], MENTION)
+    names = N.distinct_names(mentions, spark.createDataFrame([], "mailbox_id string, sender string"))
+    got = []
+    for n in (4000, 1):
+        linked = N.link_names(names, family_limit=n)
+        pairs = {tuple(r)[1:] for r in N.linked_pairs(linked).collect()}
+        canonical = {r["name"]: r["canonical_name"] for r in N.canonical_names(linked, names).collect()}
+        got.append((pairs, canonical))
+    assert got[0] == got[1]
+    assert ("Ilse Veskendarl", "Ilse Veskendorn") in got[0][0] and len({got[0][1][c] for c in chain}) == 1
+    assert not any("A. Veskendarl" in p for p in got[0][0])  # fits two, stays alone
+
+
+def test_near_index_finds_what_comparing_finds():
+    rng = random.Random(1)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 8))) for _ in range(400)}
+    index = N._Near(words)
+    for w in words | {"abcabcab", "cab"}:
+        assert sorted(index.of(w)) == sorted(x for x in words if N.near(x, w))
+
+
 def test_result_does_not_depend_on_row_order():
     texts = ["Francisco J. Quorodorun <francisco.quorodorun@a.example>", "Francisco Quorodorn", "Quorodorn Francisco", "F.J. Quorodorun", "Paco Quorodorun", "fquorodorn@post.example", "Quorodorun, Francsico", "Francisco Quorodoru", "Ferdinand Quorodorn"]
     rng, seen = random.Random(0), set()

@@ -94,6 +94,24 @@ def near(a: str, b: str) -> bool:
     return a == b or (min(len(a), len(b)) >= 4 and damerau(a, b, 1) <= 1)
 
 
+def _forms(word: str) -> set[str]:
+    """The word and what is left of it without one letter; words one slip apart share a form."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+class _Near:
+    """Looks up the words ``near`` a word without comparing it with every one."""
+
+    def __init__(self, words):
+        self.by: dict[str, set[str]] = defaultdict(set)
+        for w in words:
+            for f in _forms(w):
+                self.by[f].add(w)
+
+    def of(self, word: str) -> list[str]:
+        return [w for w in set().union(*(self.by.get(f, ()) for f in _forms(word))) if near(w, word)]
+
+
 def given_fits(a: str, b: str) -> bool:
     """Two given names can be of one person: equal, or a short form of the other."""
     return a == b or b in SHORT_FORMS.get(a, ()) or a in SHORT_FORMS.get(b, ()) or bool(set(SHORT_FORMS.get(a, ())) & set(SHORT_FORMS.get(b, ())))
@@ -295,10 +313,15 @@ def _persons(names: list[Name], u: _Union) -> None:
     # a reversed two-word name joins the group of its other order, where the order of that
     # one is certain: from a comma, a middle initial, or an address
     sure = {r[2] for n in names if len(n.readings) == 1 for r in n.readings} | {n.user[1] for n in names if n.user}
+    of_family = defaultdict(list)
+    for k in groups:
+        if k[1] in sure:
+            of_family[k[1]].append(k)
+    sure_families = _Near(of_family)
     for n in names:
         if len(n.readings) == 2 and n.readings[0][2] not in sure:
             (g0, _, f0), (g1, _, f1) = n.readings
-            hits = [k for k in groups if k != (g0, f0) and k[1] in sure and near(k[1], f1) and (given_fits(k[0], g1) or near(k[0], g1))]
+            hits = [k for f in sure_families.of(f1) for k in of_family[f] if k in groups and k != (g0, f0) and (given_fits(k[0], g1) or near(k[0], g1))]
             own = groups.get((g0, f0))
             if hits and own and own["texts"] == {n.text}:
                 best = min(hits, key=lambda k: (k[1] != f1, not given_fits(k[0], g1), k))
@@ -324,8 +347,8 @@ def _persons(names: list[Name], u: _Union) -> None:
     by_family = defaultdict(list)
     for k in keys:
         by_family[k[1]].append(k)
-    families = sorted(by_family)
-    close = [(a, b) for i, a in enumerate(families) for b in families[i:] if a == b or near(a, b)]
+    families = _Near(by_family)
+    close = [(a, b) for a in by_family for b in families.of(a) if a <= b]
     pairs = []
     for fa, fb in close:
         for a in by_family[fa]:
@@ -348,8 +371,8 @@ def _persons(names: list[Name], u: _Union) -> None:
 
     def fitting(family: str, test) -> set:
         """Entities of the nearest family names that pass."""
-        for same in (lambda f: f == family, lambda f: near(f, family)):
-            found = {u.find(("g", *k)) for k in keys if same(k[1]) and test(k)}
+        for those in (lambda: [family], lambda: families.of(family)):
+            found = {u.find(("g", *k)) for f in those() for k in by_family.get(f, ()) if test(k)}
             if found:
                 return found
         return set()
@@ -565,18 +588,12 @@ def families(keys: DataFrame, edges: DataFrame, scope: str, rounds: int = 30) ->
     )
 
 
-#: spellings that one task resolves at once; a larger family is resolved around each of its keys
-FAMILY_LIMIT = 4000
-
-
-def link_names(names: DataFrame, scope: str = "mailbox_id", family_limit: int = FAMILY_LIMIT) -> DataFrame:
+def link_names(names: DataFrame, scope: str = "mailbox_id", family_limit: int | None = None) -> DataFrame:
     """(scope, family, entity, name): the entity of each spelling within a family.
 
     A string may stand in two families (a display name and an unlike address); its
-    pairs come from both. Chains of near keys can run together in a huge scope: a family
-    of over ``family_limit`` spellings is not resolved whole but around each key, with
-    the spellings of that key and of the keys one slip from it. A slip and the right
-    spelling, and two slips from one right spelling, always share such a group.
+    pairs come from both. Every family is resolved whole, of whatever size, in one task.
+    ``family_limit`` is accepted for callers that still pass it and has no effect.
     """
     keyed = materialize(
         names.select(scope, "name", "org_votes", "person_votes", F.explode(_keys("name", "org_votes", "person_votes")).alias("k")).select(
@@ -614,21 +631,13 @@ def link_names(names: DataFrame, scope: str = "mailbox_id", family_limit: int =
     edges = materialize(near_keys.unionByName(via_acronym).unionByName(own).unionByName(side), "name-links")
     family = families(keys, edges, scope)
     placed = keyed.where("main").join(family, [scope, "key"])
-    size = placed.groupBy(scope, "family").agg(F.count("*").alias("size")).where(F.col("size") > family_limit)
-    small = placed.join(size, [scope, "family"], "left_anti")
-    around = edges.select(scope, F.col("a").alias("key"), F.col("b").alias("centre")).unionByName(
-        edges.select(scope, F.col("b").alias("key"), F.col("a").alias("centre"))
-    )
-    huge = placed.join(size.drop("size"), [scope, "family"], "left_semi")
-    huge = huge.join(around.unionByName(huge.select(scope, "key", F.col("key").alias("centre"))).distinct(), [scope, "key"])
-    people = ("name", "org_votes", "person_votes")
-    grouped = small.select(scope, "family", *people).unionByName(huge.select(scope, F.col("centre").alias("family"), *people)).distinct()
+    grouped = placed.select(scope, "family", "name", "org_votes", "person_votes").distinct()
     # as many partitions as the session shuffles into: resolving costs far more than its few bytes tell
     parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     family_names = (
         grouped.repartition(parts, scope, "family")
         .groupBy(scope, "family")
-        .agg(F.collect_list(F.struct(*people)).alias("people"))
+        .agg(F.collect_list(F.struct("name", "org_votes", "person_votes")).alias("people"))
     )
     resolved = family_names.select(scope, "family", F.explode(_resolved("people")).alias("r"))
     return resolved.select(scope, "family", "r.entity", "r.name")
