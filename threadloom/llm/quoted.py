@@ -1,21 +1,25 @@
 """Reducing e-mails to what their sender newly wrote.
 
-1. One pass over the lines of a body marks what its own form shows: quote prefixes,
-   quoting elements of HTML, introducing lines (also wrapped), header blocks and
-   separators, closing formulas with what follows them, notices. It also gives the
-   hashes of normalised units: sentences of open quotations (introduced, but without
-   prefix) and of authored text, and the closing lines.
-2. The units are exploded and ranked by date in SQL windows over the mailbox: a
-   sentence belongs to the message that had it first. An open quotation at the top of
-   a message reaches to its last sentence that another message had before.
-3. Closing lines that recur in several messages of a sender are the sender's
-   signature, whatever they look like, if nothing but such lines and notices follows.
+1. Bodies are exploded into normalised units: sentences, with quote marks, mark-up, wraps
+   and case undone, and the closing lines of each run of text.
+2. SQL windows and counts over the units decide first. The messages of a thread are ranked
+   by date; a sentence belongs to the message of the lowest rank that has it, and in every
+   later one it is quoted. A closing line that recurs in several messages of a sender is
+   signature. A sentence that several senders use, and that stands below their closings or
+   above their text, is a notice.
+3. What no window has seen before (the message quoted isn't in the thread, the sender
+   wrote once) falls back on the forms of its lines: quote prefixes, quoting elements of
+   HTML, introducing lines (also wrapped), header blocks and separators, closing formulas.
+   An open quotation (introduced, without prefix) reaches to its last sentence of an
+   earlier message.
 
 Defined results
   * null or empty body: no lines, and empty segments
-  * a null sender or date: form alone decides; a null mailbox is one of its own
+  * a null sender or date: form alone decides on closings, the date sorts last; a null
+    mailbox is one of its own; a null thread looks its sentences up in the whole mailbox
   * repeated deliveries of one message (same message_id) are one message in the windows
-  * CRLF counts as line end; offsets are line numbers of the split at "\\n"
+  * CRLF counts as line end; offsets are line numbers of the split at "\n"
+  * a run of text that consists of recurring lines only is left to the forms
   * extra columns are ignored
 """
 
@@ -25,6 +29,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,13 +39,14 @@ from pyspark.sql.window import Window
 from threadloom.llm.language import fold
 from threadloom.runtime import materialize, spread
 
-NEW, QUOTED, SIGNATURE, NOTICE, OPEN = "new", "quoted", "signature", "notice", "open"
+NEW, QUOTED, SIGNATURE, NOTICE = "new", "quoted", "signature", "notice"
 
 _TAG = re.compile(r"</?(?:html|body|head|meta|title|style|p|div|br|hr|span|blockquote|small|b|i|u|em|strong|a|font|table|tbody|tr|td|th|ul|ol|li|pre|center|img|h[1-6])\b(?:\s[^<>]*|/?)>", re.I)
 _OPENING = re.compile(r"<(/?)(div|blockquote|small|span|font|table|td)\b([^<>]*)>", re.I)
 _HTML_QUOTE = re.compile(r"quot|history|cite|reply|forward|border-left", re.I)
 _HTML_SIGN = re.compile(r"sig\b|sign|footer", re.I)
 _PREFIX = re.compile(r"^\s{0,4}(?:[A-Z]{1,3})?>")
+_MARKS = re.compile(r"^\s{0,4}[A-Z]{1,3}>[\s>|:\]]*|^[\s>|:\]*]+")
 _SOFT_PREFIX = re.compile(r"^\s{0,3}([|:\]])(?:\s|$)")
 _VERBS = r"(?:wrote|writes|schrieb|a [ée]crit|escribi[óo]|schreef|ha scritto|escreveu)"
 _INTRO = re.compile(
@@ -72,21 +78,13 @@ _HANDSET = re.compile(
     r"^\s*(?:sent (?:from|via|on) (?:my|the|a)\b|get the \w+ .*\bapp\b|typed on\b|von meine[mr]\b.*(?:gesendet|geschickt)|gesendet (?:von|mit)\b|von unterwegs gesendet|envoy[ée] (?:depuis|de) mon\b|enviado desde (?:mi|el)\b|verzonden (?:vanaf|met) mijn\b|inviato da(?:l mio)?\b|enviado do meu\b)",
     re.I,
 )
-# Wording of confidentiality notes, legal footers and gateway notices.
-_NOTICE_WORDS = (
-    "confidential", "privileged", "vertraulich", "confidentiel", "confidencial", "vertrouwelijk", "riservat", "disclaim", "automatic notice",
-    "[external]", "caution:", "verified by the gateway", "outside the organisation", "outside the organization", "registered office", "company number",
-    "sitz der gesellschaft", "registergericht", "siège social", "domicilio social", "handelsregister", "meant only for the people named",
-    "views in this mail", "no contract is formed", "we accept no liability", "scan for malware", "privacy statement", "personal data", "before you print",
-    "print this mail", "print this e-mail", "reached you by mistake", "destroy every copy", "irrtümlich", "par erreur", "por error", "per ongeluk",
-    "per errore", "mail filter", "unsubscribe", "mailing list",
-)
-_NOTICE_SHAPE = re.compile(r"(?:this|the) (?:e-?mail|mail|message|transmission) (?:and|is|may|has|comes|was)\b.*(?:intended|meant|addressee|attachment|malware|virus|named)")
+# The words for "confidential" and "privileged" in the languages served, for notices no other sender has used.
+_NOTICE = re.compile(r"\b(?:confidential(?:ity)?|privileged|vertraulich|confidentiel(?:le)?|confidencial|vertrouwelijk|riservat[oa]|disclaimer|unsubscribe)\b", re.I)
 
 
 def _notice(text: str) -> bool:
-    low = text.lower()
-    return any(w in low for w in _NOTICE_WORDS) or (("mail" in low or "message" in low) and bool(_NOTICE_SHAPE.search(low)))
+    """Form of a notice: it speaks of the mail itself and of secrecy."""
+    return bool(_NOTICE.search(text)) and bool(re.search(r"\b(?:e-?mail|mail|message|transmission|nachricht|bericht|mensaje|messaggio|mensagem|courriel|privileged)\b", text, re.I))
 
 
 _GREETING = re.compile(r"^\s*(?:(?:hi|hello|dear|hey|good (?:morning|afternoon|day|evening)|hallo|guten (?:tag|morgen)|liebe[r]?|sehr geehrte[rs]?|bonjour|ch[èe]re?|salut|hola|buenos d[íi]as|estimad[oa]s?|querid[oa]s?|hoi|beste|dag|goedemorgen|ciao|buongiorno|ol[áa]|bom dia)\b[^.?!:]{0,40},?|[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)?,)\s*$", re.I)
@@ -108,15 +106,128 @@ def _tokens(sender: str | None) -> set[str]:
     return {w for w in _WORD.findall(fold(sender or "")) if len(w) > 2 and w not in ("example", "test", "invalid", "com", "org", "net")}
 
 
-def classify(body: str | None, sender: str | None) -> tuple[list[str], int, list[str]]:
-    """(class of each line, first line of an open quotation at the top or -1, visible lines)."""
+#: words below which a sentence proves nothing by itself
+LEAST_WORDS = 6
+#: words of a finished sentence that is prose, no part of a closing
+PROSE_WORDS = 12
+
+
+def _code(unit: str) -> int:
+    raw = unit.encode()
+    return (zlib.crc32(raw) << 31) ^ zlib.adler32(raw) ^ len(raw)
+
+
+class Unit(NamedTuple):
+    """A sentence (or what stands between two breaks): its hash, its lines, its words."""
+
+    code: int
+    first: int
+    last: int
+    words: int
+    ended: bool
+
+
+def sentences(text: list[str]) -> list[Unit]:
+    """Units of visible lines, without quote marks; wraps and case don't matter.
+
+    A unit ends with a sentence, an empty line, a line that ends with a colon, or a greeting.
+    """
+    out: list[Unit] = []
+    held: list[str] = []
+    start = last = 0
+
+    def close(ended: bool) -> None:
+        if held:
+            out.append(Unit(_code(" ".join(held)), start, last, len(held), ended))
+            held.clear()
+
+    for i, line in enumerate(text):
+        words = _MARKS.sub("", line).lower().split()
+        if not words:
+            close(False)
+        for w in words:
+            if not held:
+                start = i
+            last = i
+            held.append(w)
+            if w[-1] in ".?!":
+                close(True)
+        if words and (words[-1][-1] == ":" or (words[-1][-1] == "," and len(words) <= 4)):
+            close(False)
+    close(False)
+    return out
+
+
+def _line_code(line: str) -> int:
+    return _code(" ".join(_MARKS.sub("", line).lower().split()))
+
+
+def tails(text: list[str], units: list[Unit]) -> list[int]:
+    """Lines that end a run of text: up from the end, and from each quotation, to the last prose."""
+    prose = [len(t) > 75 for t in text]
+    for u in units:
+        if u.ended and u.words >= PROSE_WORDS:
+            prose[u.first : u.last + 1] = [True] * (u.last + 1 - u.first)
+    ends = [len(text)]
+    for i, t in enumerate(text):
+        lead = t.lstrip()[:1]
+        if (lead and lead in ">|:]-" and (_PREFIX.match(t) or _SOFT_PREFIX.match(t) or _SEPARATOR.match(t))) or (t.rstrip().endswith(":") and _INTRO.match(t.strip())) or (":" in t[:12] and _FROM.match(t)):
+            ends.append(i)
+    out: set[int] = set()
+    for e in ends:
+        i = e - 1
+        while i >= 0 and i not in out and not prose[i] and not (i + 1 < e and i in ends):
+            out.add(i)
+            i -= 1
+    return sorted(i for i in out if _ALNUM.search(text[i]))
+
+
+class Seen(NamedTuple):
+    """What the windows found out about the units of one message."""
+
+    quoted: frozenset = frozenset()
+    notices: frozenset = frozenset()
+    closings: frozenset = frozenset()
+
+
+def _covered(units: list[Unit], codes: frozenset, n: int, together: bool = False) -> list[bool]:
+    """Lines of which every unit is in ``codes``, and proven: by a unit that is long enough,
+    or beside such a line. ``together``: by several units that are long enough taken together."""
+    inside, words = [False] * n, [0] * n
+    for u in units:
+        inside[u.first : u.last + 1] = [True] * (u.last + 1 - u.first)
+        words[u.first] += u.words
+    longest = [0] * n
+    for u in units:
+        hit = u.code in codes
+        for i in range(u.first, u.last + 1):
+            inside[i] &= hit
+            longest[i] = max(longest[i], u.words)
+    i = 0
+    while i < n:
+        e = i
+        while e < n and inside[e]:
+            e += 1
+        if e > i and (sum(words[i:e]) if together else max(longest[i:e])) < LEAST_WORDS:
+            inside[i:e] = [False] * (e - i)
+        i = max(e, i + 1)
+    return inside
+
+
+def classify(body: str | None, sender: str | None, seen: Seen = Seen()) -> tuple[list[str], list[bool], list[str]]:  # noqa: B008
+    """(class of each line, whether a window decided it, visible lines)."""
     if not body:
-        return [], -1, []
+        return [], [], []
     raw = body.split("\n")
     text = [visible(x) for x in raw]
     n = len(raw)
     kind: list[str | None] = [None] * n
     filled = [bool(_ALNUM.search(t)) for t in text]
+    units = sentences(text) if any(seen) else []
+    earlier = _covered(units, seen.quoted, n)
+    told = [x and not _HANDSET.match(t) and not _CLOSING.match(t) for x, t in zip(_covered(units, seen.notices, n, together=True), text)]
+    earlier = [a and not b for a, b in zip(earlier, told)]  # a notice of one's own may stand in the thread before
+    proof = [False] * n
     # HTML elements that quote, sign or carry a notice
     if "<" in body:
         stack: list[tuple[str, str | None]] = []
@@ -195,12 +306,16 @@ def classify(body: str | None, sender: str | None) -> tuple[list[str], int, list
         break
     top = False
     if open_from >= 0:
-        top = not any(filled[j] and not marked[j] and kind[j] is None and not _notice(text[j]) for j in range(open_from))
+        top = not any(filled[j] and not marked[j] and kind[j] is None and not told[j] and not _notice(text[j]) for j in range(open_from))
         headed = any(kind[j] == QUOTED and (_FROM.match(text[j].strip()) or _SEPARATOR.match(text[j].strip())) for j in range(open_from, n))
-        for j in range(open_from, n):
-            if kind[j] is None:
-                kind[j] = OPEN if top and not headed else QUOTED
         top = top and not headed
+        border = n
+        known = [u.last for u in units if u.first >= open_from and u.words >= LEAST_WORDS and u.code in seen.quoted and not told[u.first]] if top else []
+        if known:
+            border = _reach(text, max(known)) + 1
+        for j in range(open_from, border):
+            if kind[j] is None:
+                kind[j] = QUOTED
     for i in range(n):
         if kind[i] is None and marked[i]:
             alone = not (i > 0 and (marked[i - 1] or intro_end[i])) and not (i + 1 < n and marked[i + 1])
@@ -212,20 +327,41 @@ def classify(body: str | None, sender: str | None) -> tuple[list[str], int, list
     for i in range(1, n - 1):
         if kind[i] is None and filled[i] and marked[i - 1] and marked[i + 1] and kind[i - 1] == QUOTED and filled[i - 1]:
             kind[i] = QUOTED
+    # one sentence by itself, without a mark around it, may be said twice
+    i = 0
+    while i < n:
+        e = i
+        while e < n and (earlier[e] or (e > i and not filled[e])):
+            e += 1
+        if e > i and all(k is None for k in kind[i:e]) and sum(u.words >= LEAST_WORDS and i <= u.first < e for u in units) < 2:
+            earlier[i:e] = [False] * (e - i)
+        i = max(e, i + 1)
+    for i in range(n):
+        if earlier[i]:
+            kind[i], proof[i] = QUOTED, True
+        elif told[i] and kind[i] in (None, NOTICE):
+            kind[i], proof[i] = NOTICE, True
     names = _tokens(sender)
-    # runs of lines that are still undecided (or open): closing and notices at their edges
+    recurs = [bool(t) and _line_code(t) in seen.closings for t in text] if seen.closings else [False] * n
+    # runs of lines that are still undecided: closing and notices at their edges
     i = 0
     while i < n:
-        if kind[i] not in (None, OPEN):
+        if kind[i] is not None:
             i += 1
             continue
         e = i
-        while e < n and kind[e] == kind[i]:
+        while e < n and kind[e] is None:
             e += 1
-        _edges(text, filled, kind, i, e, names, kind[i] or NEW)
+        lines = [j for j in range(i, e) if filled[j]]
+        own = len(lines)
+        while own and recurs[lines[own - 1]]:
+            own -= 1
+        if own or len(lines) < sum(filled[j] and kind[j] in (None, NEW) for j in range(n)):
+            for j in lines[own:]:
+                kind[j], proof[j] = SIGNATURE, True
+        _edges(text, filled, kind, i, lines[own] if own < len(lines) and kind[lines[own]] else e, names)
         i = e
-    out = [k or NEW for k in kind]
-    return out, (open_from if top else -1), text
+    return [k or NEW for k in kind], proof, text
 
 
 def _headers_follow(text: list[str], i: int) -> bool:
@@ -252,7 +388,7 @@ def _paragraphs(text: list[str], filled: list[bool], a: int, e: int) -> list[tup
     return out
 
 
-def _edges(text, filled, kind, a: int, e: int, names: set[str], base: str) -> None:
+def _edges(text, filled, kind, a: int, e: int, names: set[str]) -> None:
     """Marks notices and the closing of one run of lines in place."""
     parts = _paragraphs(text, filled, a, e)
     joined = [" ".join(text[p:q]) for p, q in parts]
@@ -284,7 +420,7 @@ def _edges(text, filled, kind, a: int, e: int, names: set[str], base: str) -> No
     if s is None:
         return
     for j in range(s, last):
-        if kind[j] in (None, OPEN):
+        if kind[j] is None:
             inner = text[j].strip()
             kind[j] = NOTICE if _notice(inner) else SIGNATURE
 
@@ -376,44 +512,18 @@ def _signature_start(text, filled, a: int, e: int, names: set[str]) -> int | Non
     return best
 
 
-def _code(unit: str) -> int:
-    raw = unit.encode()
-    return (zlib.crc32(raw) << 31) ^ zlib.adler32(raw) ^ len(raw)
-
-
-def _units(text: list[str], kinds: list[str], wanted: str) -> list[tuple[int, int]]:
-    """(hash of a sentence, its last line) over the lines of one class; wraps don't matter."""
-    out, held = [], []
-    for i, (t, k) in enumerate([*zip(text, kinds), ("", "end")]):
-        words = t.lower().split() if k == wanted else []
-        for w in words:
-            held.append(w)
-            if w[-1] in ".?!":
-                if len(held) >= LEAST_WORDS:
-                    out.append((_code(" ".join(held)), i))
-                held = []
-        if not words:
-            held = []
-    return out
-
-
-def _recurs(t: str) -> bool:
-    """A line that may be part of a signature: short, not a greeting, not prose."""
-    return len(t.strip()) <= 60 and (_title(t) or bool(_CONTACT.match(t))) and not _GREETING.match(t)
-
-
-def _reach(text: list[str], kinds: list[str], line: int) -> int:
+def _reach(text: list[str], line: int) -> int:
     """How far an open quotation reaches that holds this line: the end of its paragraph,
     and on over a closing that follows."""
     n, i = len(text), line
-    while i + 1 < n and kinds[i + 1] == OPEN and text[i + 1].strip():
+    while i + 1 < n and text[i + 1].strip():
         i += 1
     while True:
         a = i + 1
         while a < n and not text[a].strip():
             a += 1
         e = a
-        while e < n and kinds[e] == OPEN and text[e].strip():
+        while e < n and text[e].strip():
             e += 1
         block = [t.strip() for t in text[a:e]]
         if not block or not all(_CLOSING.match(t) or _CUT.match(t) or _CONTACT.match(t) or _closed_by_name(t, set()) or (len(t) <= 42 and _title(t)) for t in block) or any(_GREETING.match(t) and not _CLOSING.match(t) for t in block):
@@ -421,103 +531,163 @@ def _reach(text: list[str], kinds: list[str], line: int) -> int:
         i = e - 1
 
 
-#: words below which a sentence proves nothing
-LEAST_WORDS = 6
+def _identity(sender: str | None) -> str | None:
+    """Address of a sender, else the words of the name in any order."""
+    if not sender:
+        return None
+    m = re.search(r"[\w.+'-]+@[\w.-]+", sender)
+    return m[0].lower() if m else " ".join(sorted(_WORD.findall(fold(sender)))) or None
+
+
 #: one letter a class; small for lines without letters or digits
-_LETTER = {NEW: "N", QUOTED: "Q", SIGNATURE: "S", NOTICE: "D", OPEN: "O"}
+_LETTER = {NEW: "N", QUOTED: "Q", SIGNATURE: "S", NOTICE: "D"}
+_UNIT = "array<struct<unit: bigint, long: boolean, top: boolean, below: boolean>>"
 
 
-def marked_lines(messages: DataFrame, key: str = "msg_key") -> DataFrame:
-    """(key, mailbox_id, message_id, sender, sent_at, kinds, opened, authored, tail).
+def message_units(messages: DataFrame, key: str = "msg_key") -> DataFrame:
+    """(key, mailbox_id, thread_id, message, sender, sent_at, units, tail) of every message.
 
-    kinds: a letter for each line; opened and tail: (hash, line); authored: hashes.
+    units: its sentences, whether they are long, stand in the first paragraph, or below
+    a closing; tail: the lines that may belong to a closing.
     """
     kind = messages.schema[key].dataType.simpleString()
-    pair = pa.list_(pa.struct([("unit", pa.int64()), ("line", pa.int32())]))
-    kept = (key, "mailbox_id", "message_id", "sender", "sent_at")
+    shape = pa.list_(pa.struct([("unit", pa.int64()), ("long", pa.bool_()), ("top", pa.bool_()), ("below", pa.bool_())]))
+    kept = (key, "mailbox_id", "thread_id", "message", "sent_at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, opened, authored, tails = [], [], [], []
+            units, ends, who = [], [], []
             for body, sender in zip(batch.column("body_text").to_pylist(), batch.column("sender").to_pylist()):
-                k, top, text = classify(body, sender)
-                filled = [bool(_ALNUM.search(t)) for t in text]
-                kinds.append("".join(_LETTER[x] if f else _LETTER[x].lower() for x, f in zip(k, filled)))
-                opened.append([{"unit": u, "line": _reach(text, k, i)} for u, i in _units(text, k, OPEN)] if top >= 0 else [])
-                authored.append([u for u, _ in _units(text, k, NEW)])
-                tail = [i for i, x in enumerate(k) if x == NEW and filled[i]][-6:]
-                tails.append([{"unit": _code(text[i].strip().lower()) if _recurs(text[i]) else None, "line": i} for i in tail])
+                text = [visible(x) for x in body.split("\n")] if body else []
+                found = sentences(text)
+                closing = [i for i, t in enumerate(text) if len(t) < 80 and (_CLOSING.match(t) or _CUT.match(t) or _CONTACT.match(t) or _HANDSET.match(t))]
+                begin = next((i for i, t in enumerate(text) if t.strip()), 0)
+                first = next((i for i in range(begin, len(text)) if not text[i].strip()), len(text))
+                units.append(
+                    [
+                        {"unit": u.code, "long": u.words >= LEAST_WORDS, "top": u.first < first, "below": any(u.first - 15 <= i < u.first for i in closing)}
+                        for u in {u.code: u for u in found}.values()
+                    ]
+                )
+                ends.append(list({_line_code(text[i]) for i in tails(text, found)}))
+                who.append(_identity(sender))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(kinds, pa.string()), pa.array(opened, pair), pa.array(authored, pa.list_(pa.int64())), pa.array(tails, pair)],
-                [*kept, "kinds", "opened", "authored", "tail"],
+                [*[batch.column(c) for c in kept], pa.array(who, pa.string()), pa.array(units, shape), pa.array(ends, pa.list_(pa.int64()))],
+                [*kept, "sender", "units", "tail"],
             )
 
-    unit = "array<struct<unit: bigint, line: int>>"
-    return spread(messages.select(*kept, "body_text")).mapInArrow(
-        run,
-        f"{key} {kind}, mailbox_id string, message_id string, sender string, sent_at timestamp, kinds string, opened {unit}, authored array<bigint>, tail {unit}",
+    message = F.coalesce("message_id", F.col(key).cast("string")).alias("message")
+    return spread(messages.select(key, "mailbox_id", "thread_id", message, "sender", "sent_at", "body_text")).mapInArrow(
+        run, f"{key} {kind}, mailbox_id string, thread_id string, message string, sent_at timestamp, sender string, units {_UNIT}, tail array<bigint>"
     )
 
 
-def line_classes(messages: DataFrame, key: str = "msg_key") -> DataFrame:
-    """(key, line_no, class, filled): new, quoted, signature or notice, for every line of every body."""
-    marked = materialize(marked_lines(messages, key), "marked-lines")
-    message = F.coalesce("message_id", F.col(key).cast("string")).alias("message")
-    base = (key, "mailbox_id", message, "sent_at")
-    opened = marked.where(F.size("opened") > 0).select(*base, F.explode("opened").alias("u")).select(
-        key, "mailbox_id", "message", "sent_at", "u.unit", "u.line"
+def _gathered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.collect_set("unit").alias(name))
+
+
+def earlier_units(units: DataFrame, key: str = "msg_key") -> DataFrame:
+    """(key, quoted): the units of each message that another message of its thread had before.
+
+    The thread's messages are ranked by date, and the unit belongs to the lowest rank. The
+    rank is a window over a row a message; the author of a unit is a minimum that combines
+    before the shuffle, so a line that a third of all messages hold is one row a task.
+    """
+    by_date = Window.partitionBy("mailbox_id", "thread_id").orderBy(F.col("sent_at").asc_nulls_last(), "message")
+    ranked = units.groupBy("mailbox_id", "thread_id", "message").agg(F.min("sent_at").alias("sent_at")).withColumn("rank", F.rank().over(by_date))
+    place = F.struct(F.col("sent_at").isNull().alias("late"), "sent_at", "message")
+    held = units.select(key, "mailbox_id", "thread_id", "message", "sent_at", F.explode("units.unit").alias("unit"))
+    threaded = held.where("thread_id is not null").join(
+        ranked.where("thread_id is not null").select("mailbox_id", "thread_id", "message", "rank"), ["mailbox_id", "thread_id", "message"]
     )
-    authored = marked.select(*base, F.explode("authored").alias("unit")).select(
-        F.lit(None).cast(marked.schema[key].dataType).alias(key), "mailbox_id", "message", "sent_at", "unit", F.lit(-1).alias("line")
+    authors = (
+        threaded.groupBy(F.coalesce("mailbox_id", F.lit("")).alias("box"), F.col("thread_id").alias("thread"), F.col("unit").alias("u"))
+        .agg(F.min_by("message", F.struct("rank", "message")).alias("author"), F.max("message").alias("most"), F.min("message").alias("least"))
+        .where("most <> least")
     )
-    # first occurrence by date: an open sentence that another message had before is quoted
-    before = Window.partitionBy("mailbox_id", "unit").orderBy(F.col("sent_at").asc_nulls_last(), "message")
-    borders = (
-        authored.join(opened.select("mailbox_id", "unit").distinct(), ["mailbox_id", "unit"], "left_semi")
-        .select(opened.columns)
-        .unionByName(opened)
-        .withColumn("author", F.first("message").over(before))
-        .where((F.col("line") >= 0) & (F.col("author") != F.col("message")))
-        .groupBy(key)
-        .agg(F.max("line").alias("border"))
+    in_thread = F.expr("coalesce(mailbox_id, '') = box and thread_id = thread and unit = u")
+    quoted = threaded.join(authors, in_thread).where("message <> author").select(key, "unit")
+    # a message without a thread is held against its whole mailbox
+    stray = held.where("thread_id is null")
+    owners = (
+        held.join(stray.select("mailbox_id", "unit").distinct(), ["mailbox_id", "unit"], "left_semi")
+        .groupBy(F.col("mailbox_id").alias("box"), F.col("unit").alias("u"))
+        .agg(F.min_by("message", place).alias("author"))
     )
-    # closing lines that recur in other messages of the sender
-    closings = marked.where("sender is not null").select(key, "mailbox_id", message, "sender", F.explode("tail").alias("u")).select(
-        key, "mailbox_id", "message", "sender", "u.unit", "u.line"
+    astray = stray.join(owners, F.expr("mailbox_id <=> box and unit = u")).where("message <> author").select(key, "unit")
+    return _gathered(quoted.unionByName(astray), key, "quoted")
+
+
+def notice_units(units: DataFrame, key: str = "msg_key", senders: int = 3, top: float = 0.8, below: float = 0.3) -> DataFrame:
+    """(key, notices): sentences of at least ``senders`` senders that stand in the first
+    paragraph in ``top`` of their messages, or below a closing in ``below`` of them.
+
+    units: as ``message_units`` with ``quoted``, whose units are no evidence.
+    """
+    said = F.when(F.col("thread_id").isNotNull(), F.col("quoted"))
+    fresh = F.filter("units", lambda u: ~F.coalesce(F.array_contains(said, u["unit"]), F.lit(False)))
+    held = units.where("sender is not null").select("sender", F.explode(fresh).alias("u"))
+    shared = (
+        held.groupBy(F.col("u.unit").alias("unit"), "sender")
+        .agg(F.count("*").alias("n"), F.count_if("u.top").alias("top"), F.count_if("u.below").alias("below"))
+        .groupBy("unit")
+        .agg(F.count("*").alias("senders"), F.sum("n").alias("n"), F.sum("top").alias("top"), F.sum("below").alias("below"))
+        .where((F.col("senders") >= senders) & ((F.col("top") >= top * F.col("n")) | (F.col("below") >= below * F.col("n"))))
+        .select("unit")
     )
+    return _gathered(units.select(key, F.explode("units.unit").alias("unit")).join(shared, "unit", "left_semi"), key, "notices")
+
+
+def closing_units(units: DataFrame, key: str = "msg_key", messages: int = 3) -> DataFrame:
+    """(key, closings): closing lines that recur in at least ``messages`` messages of the sender."""
+    tail = units.where("sender is not null").select(key, "mailbox_id", "sender", "message", F.explode("tail").alias("unit"))
     recurring = (
-        closings.groupBy("mailbox_id", "sender", "unit")
-        .agg(F.count_distinct("message").alias("n"))
-        .where("n >= 3")
-        .select("mailbox_id", "sender", "unit", F.lit(True).alias("recurs"))
+        tail.groupBy(F.coalesce("mailbox_id", F.lit("")).alias("box"), F.col("sender").alias("who"), F.col("unit").alias("u"), "message")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("box", "who", "u")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") >= messages)
     )
-    signed = (
-        closings.join(recurring, ["mailbox_id", "sender", "unit"], "left")
-        .groupBy(key)
-        .agg(
-            F.coalesce(F.max(F.when(F.col("recurs").isNull(), F.col("line"))), F.lit(-1)).alias("above"),
-            F.max(F.when(F.col("recurs"), F.col("line"))).alias("lowest"),
-        )
-        .where("lowest > above")
-        .select(key, "above")
-    )
-    lines = (
-        marked.select(key, "kinds")
-        .join(borders, key, "left")
-        .join(signed, key, "left")
-        .select(key, "border", "above", F.posexplode(F.split("kinds", "")).alias("line_no", "letter"))
+    same = F.expr("coalesce(mailbox_id, '') = box and sender = who and unit = u")
+    return _gathered(tail.join(recurring, same).select(key, "unit"), key, "closings")
+
+
+def line_classes(messages: DataFrame, key: str = "msg_key") -> DataFrame:
+    """(key, line_no, class, filled, by_window): new, quoted, signature or notice, for every line of every body."""
+    units = materialize(message_units(messages, key), "message-units")
+    placed = materialize(units.join(earlier_units(units, key), key, "left"), "placed-units")
+    seen = placed.select(key, "quoted").join(notice_units(placed, key), key, "left").join(closing_units(units, key), key, "left")
+    kind = messages.schema[key].dataType.simpleString()
+    names = ("quoted", "notices", "closings")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            letters, windows = [], []
+            for body, sender, *found in zip(*[batch.column(c).to_pylist() for c in ("body_text", "sender", *names)]):
+                kinds, proof, text = classify(body, sender, Seen(*[frozenset(x or ()) for x in found]))
+                letters.append("".join(_LETTER[k] if _ALNUM.search(t) else _LETTER[k].lower() for k, t in zip(kinds, text)))
+                windows.append("".join("W" if x else "-" for x in proof))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(letters, pa.string()), pa.array(windows, pa.string())], [key, "kinds", "windows"])
+
+    # as many partitions as the session shuffles into: reading lines costs far more than their bytes tell
+    parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lettered = (
+        messages.select(key, "sender", "body_text")
+        .repartition(parts, key)
+        .join(seen, key, "left")
+        .mapInArrow(run, f"{key} {kind}, kinds string, windows string")
+        .select(key, "windows", F.posexplode(F.split("kinds", "")).alias("line_no", "letter"))
         .where("letter <> ''")
     )
     letter = F.upper("letter")
-    kind = (
-        F.when((letter == "O") & (F.col("border").isNull() | (F.col("line_no") <= F.col("border"))), QUOTED)
-        .when((letter == "N") & (F.col("line_no") > F.col("above")), SIGNATURE)
-        .when(letter.isin("O", "N"), NEW)
-        .when(letter == "Q", QUOTED)
-        .when(letter == "S", SIGNATURE)
-        .otherwise(NOTICE)
+    named = F.when(letter == "N", NEW).when(letter == "Q", QUOTED).when(letter == "S", SIGNATURE).otherwise(NOTICE)
+    return lettered.select(
+        key,
+        F.col("line_no").cast("int").alias("line_no"),
+        named.alias("class"),
+        (F.col("letter") == letter).alias("filled"),
+        (F.expr("substring(windows, line_no + 1, 1)") == "W").alias("by_window"),
     )
-    return lines.select(key, F.col("line_no").cast("int").alias("line_no"), kind.alias("class"), (F.col("letter") == letter).alias("filled"))
 
 
 def segments(messages: DataFrame, key: str = "msg_key") -> DataFrame:

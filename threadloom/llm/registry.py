@@ -59,13 +59,13 @@ def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of e-mail bodies that their sender didn't newly write."""
-    messages = table(spark, sf_dir, "email_messages", "msg_key", "mailbox_id", "message_id", "sender", "sent_at", "body_text")
+    messages = table(spark, sf_dir, "email_messages", "msg_key", "mailbox_id", "thread_id", "message_id", "sender", "sent_at", "body_text")
     return quoted.line_classes(messages).where("class <> 'new' and filled").select("msg_key", "line_no")
 
 
 def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four segment texts of every message."""
-    messages = table(spark, sf_dir, "email_messages", "msg_key", "mailbox_id", "message_id", "sender", "sent_at", "body_text")
+    messages = table(spark, sf_dir, "email_messages", "msg_key", "mailbox_id", "thread_id", "message_id", "sender", "sent_at", "body_text")
     return quoted.segments(messages)
 
 
