@@ -2,9 +2,9 @@
 
 1. Bodies are exploded into normalised units: sentences, with quote marks, mark-up, wraps
    and case undone, and the closing lines of each run of text.
-2. SQL windows and counts over the units decide first. The messages of a thread are ranked
-   by date; a sentence belongs to the message of the lowest rank that has it, and in every
-   later one it is quoted. A closing line that recurs in several messages of a sender is
+2. Counts and first places by date over the units decide first. The messages of a thread are ranked
+   by date; a sentence belongs to the first one that has it, and in every later one it is
+   quoted. A closing line that recurs in several messages of a sender is
    signature. A sentence that several senders use, and that stands below their closings or
    above their text, is a notice.
 3. What no window has seen before (the message quoted isn't in the thread, the sender
@@ -34,7 +34,6 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from threadloom.llm.language import fold
 from threadloom.runtime import materialize, spread
@@ -541,18 +540,20 @@ def _identity(sender: str | None) -> str | None:
 
 #: one letter a class; small for lines without letters or digits
 _LETTER = {NEW: "N", QUOTED: "Q", SIGNATURE: "S", NOTICE: "D"}
-_UNIT = "array<struct<unit: bigint, long: boolean, top: boolean, below: boolean>>"
+_UNIT = "array<struct<unit: bigint, top: boolean, below: boolean>>"
 
 
 def message_units(messages: DataFrame, key: str = "msg_key") -> DataFrame:
-    """(key, mailbox_id, thread_id, message, sender, sent_at, units, tail) of every message.
+    """(key, box, thread, message, who, sent_at, units, tail) of every message.
 
-    units: its sentences, whether they are long, stand in the first paragraph, or below
-    a closing; tail: the lines that may belong to a closing.
+    box, thread, message and who (the sender's address or name) are 64-bit hashes, so that
+    the exploded units stay narrow; thread and who may be null. units: its sentences, whether
+    they stand in the first paragraph, or below a closing; tail: the lines that may belong
+    to a closing.
     """
     kind = messages.schema[key].dataType.simpleString()
-    shape = pa.list_(pa.struct([("unit", pa.int64()), ("long", pa.bool_()), ("top", pa.bool_()), ("below", pa.bool_())]))
-    kept = (key, "mailbox_id", "thread_id", "message", "sent_at")
+    shape = pa.list_(pa.struct([("unit", pa.int64()), ("top", pa.bool_()), ("below", pa.bool_())]))
+    kept = (key, "box", "thread", "message", "sent_at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -563,23 +564,26 @@ def message_units(messages: DataFrame, key: str = "msg_key") -> DataFrame:
                 closing = [i for i, t in enumerate(text) if len(t) < 80 and (_CLOSING.match(t) or _CUT.match(t) or _CONTACT.match(t) or _HANDSET.match(t))]
                 begin = next((i for i, t in enumerate(text) if t.strip()), 0)
                 first = next((i for i in range(begin, len(text)) if not text[i].strip()), len(text))
-                units.append(
-                    [
-                        {"unit": u.code, "long": u.words >= LEAST_WORDS, "top": u.first < first, "below": any(u.first - 15 <= i < u.first for i in closing)}
-                        for u in {u.code: u for u in found}.values()
-                    ]
-                )
+                units.append([{"unit": u.code, "top": u.first < first, "below": any(u.first - 15 <= i < u.first for i in closing)} for u in {u.code: u for u in found}.values()])
                 ends.append(list({_line_code(text[i]) for i in tails(text, found)}))
-                who.append(_identity(sender))
+                name = _identity(sender)
+                who.append(_code(name) if name else None)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(who, pa.string()), pa.array(units, shape), pa.array(ends, pa.list_(pa.int64()))],
-                [*kept, "sender", "units", "tail"],
+                [*[batch.column(c) for c in kept], pa.array(who, pa.int64()), pa.array(units, shape), pa.array(ends, pa.list_(pa.int64()))],
+                [*kept, "who", "units", "tail"],
             )
 
-    message = F.coalesce("message_id", F.col(key).cast("string")).alias("message")
-    return spread(messages.select(key, "mailbox_id", "thread_id", message, "sender", "sent_at", "body_text")).mapInArrow(
-        run, f"{key} {kind}, mailbox_id string, thread_id string, message string, sent_at timestamp, sender string, units {_UNIT}, tail array<bigint>"
-    )
+    return spread(
+        messages.select(
+            key,
+            F.xxhash64("mailbox_id").alias("box"),
+            F.when(F.col("thread_id").isNotNull(), F.xxhash64("mailbox_id", "thread_id")).alias("thread"),
+            F.xxhash64(F.coalesce("message_id", F.col(key).cast("string"))).alias("message"),
+            "sent_at",
+            "sender",
+            "body_text",
+        )
+    ).mapInArrow(run, f"{key} {kind}, box bigint, thread bigint, message bigint, sent_at timestamp, who bigint, units {_UNIT}, tail array<bigint>")
 
 
 def _gathered(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -589,33 +593,27 @@ def _gathered(rows: DataFrame, key: str, name: str) -> DataFrame:
 def earlier_units(units: DataFrame, key: str = "msg_key") -> DataFrame:
     """(key, quoted): the units of each message that another message of its thread had before.
 
-    The thread's messages are ranked by date, and the unit belongs to the lowest rank. The
-    rank is a window over a row a message; the author of a unit is a minimum that combines
-    before the shuffle, so a line that a third of all messages hold is one row a task.
+    A unit belongs to the thread's first message by date that has it: a minimum that combines
+    before the shuffle, so a thread or a line of a third of all messages is one row a task.
     """
-    by_date = Window.partitionBy("mailbox_id", "thread_id").orderBy(F.col("sent_at").asc_nulls_last(), "message")
-    ranked = units.groupBy("mailbox_id", "thread_id", "message").agg(F.min("sent_at").alias("sent_at")).withColumn("rank", F.rank().over(by_date))
-    place = F.struct(F.col("sent_at").isNull().alias("late"), "sent_at", "message")
-    held = units.select(key, "mailbox_id", "thread_id", "message", "sent_at", F.explode("units.unit").alias("unit"))
-    threaded = held.where("thread_id is not null").join(
-        ranked.where("thread_id is not null").select("mailbox_id", "thread_id", "message", "rank"), ["mailbox_id", "thread_id", "message"]
-    )
-    authors = (
-        threaded.groupBy(F.coalesce("mailbox_id", F.lit("")).alias("box"), F.col("thread_id").alias("thread"), F.col("unit").alias("u"))
-        .agg(F.min_by("message", F.struct("rank", "message")).alias("author"), F.max("message").alias("most"), F.min("message").alias("least"))
-        .where("most <> least")
-    )
-    in_thread = F.expr("coalesce(mailbox_id, '') = box and thread_id = thread and unit = u")
-    quoted = threaded.join(authors, in_thread).where("message <> author").select(key, "unit")
+    place = F.struct(F.col("sent_at").isNull().alias("late"), F.unix_micros("sent_at").alias("at"), "message").alias("place")
+    held = units.select(key, "box", "thread", "message", place, F.explode("units.unit").alias("unit"))
+
+    def after_the_first(rows: DataFrame, all_rows: DataFrame, scope: str) -> DataFrame:
+        where = F.xxhash64(scope, "unit")
+        owners = (
+            all_rows.groupBy(where.alias("place_of"))
+            .agg(F.min("place").alias("first"), F.min("message").alias("least"), F.max("message").alias("most"))
+            .where("least <> most")
+            .select("place_of", F.col("first.message").alias("author"))
+        )
+        return rows.select(key, "message", "unit", where.alias("mine")).join(owners, F.expr("mine = place_of")).where("message <> author").select(key, "unit")
+
+    threaded, stray = held.where("thread is not null"), held.where("thread is null")
     # a message without a thread is held against its whole mailbox
-    stray = held.where("thread_id is null")
-    owners = (
-        held.join(stray.select("mailbox_id", "unit").distinct(), ["mailbox_id", "unit"], "left_semi")
-        .groupBy(F.col("mailbox_id").alias("box"), F.col("unit").alias("u"))
-        .agg(F.min_by("message", place).alias("author"))
-    )
-    astray = stray.join(owners, F.expr("mailbox_id <=> box and unit = u")).where("message <> author").select(key, "unit")
-    return _gathered(quoted.unionByName(astray), key, "quoted")
+    wanted = stray.select(F.xxhash64("box", "unit").alias("wanted")).distinct()
+    around = held.join(wanted, F.xxhash64("box", "unit") == F.col("wanted"), "left_semi")
+    return _gathered(after_the_first(threaded, threaded, "thread").unionByName(after_the_first(stray, around, "box")), key, "quoted")
 
 
 def notice_units(units: DataFrame, key: str = "msg_key", senders: int = 3, top: float = 0.8, below: float = 0.3) -> DataFrame:
@@ -624,11 +622,12 @@ def notice_units(units: DataFrame, key: str = "msg_key", senders: int = 3, top:
 
     units: as ``message_units`` with ``quoted``, whose units are no evidence.
     """
-    said = F.when(F.col("thread_id").isNotNull(), F.col("quoted"))
+    said = F.when(F.col("thread").isNotNull(), F.col("quoted"))
     fresh = F.filter("units", lambda u: ~F.coalesce(F.array_contains(said, u["unit"]), F.lit(False)))
-    held = units.where("sender is not null").select("sender", F.explode(fresh).alias("u"))
     shared = (
-        held.groupBy(F.col("u.unit").alias("unit"), "sender")
+        units.where("who is not null")
+        .select("who", F.explode(fresh).alias("u"))
+        .groupBy(F.col("u.unit").alias("unit"), "who")
         .agg(F.count("*").alias("n"), F.count_if("u.top").alias("top"), F.count_if("u.below").alias("below"))
         .groupBy("unit")
         .agg(F.count("*").alias("senders"), F.sum("n").alias("n"), F.sum("top").alias("top"), F.sum("below").alias("below"))
@@ -640,23 +639,20 @@ def notice_units(units: DataFrame, key: str = "msg_key", senders: int = 3, top:
 
 def closing_units(units: DataFrame, key: str = "msg_key", messages: int = 3) -> DataFrame:
     """(key, closings): closing lines that recur in at least ``messages`` messages of the sender."""
-    tail = units.where("sender is not null").select(key, "mailbox_id", "sender", "message", F.explode("tail").alias("unit"))
+    tail = units.where("who is not null").select(key, "box", "who", "message", F.explode("tail").alias("unit"))
+    tail = tail.select(key, "message", "unit", F.xxhash64("box", "who", "unit").alias("mine"))
     recurring = (
-        tail.groupBy(F.coalesce("mailbox_id", F.lit("")).alias("box"), F.col("sender").alias("who"), F.col("unit").alias("u"), "message")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("box", "who", "u")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= messages)
+        tail.select(F.col("mine").alias("line"), "message").distinct().groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= messages).select("line")
     )
-    same = F.expr("coalesce(mailbox_id, '') = box and sender = who and unit = u")
-    return _gathered(tail.join(recurring, same).select(key, "unit"), key, "closings")
+    return _gathered(tail.join(recurring, F.expr("mine = line"), "left_semi").select(key, "unit"), key, "closings")
 
 
 def line_classes(messages: DataFrame, key: str = "msg_key") -> DataFrame:
     """(key, line_no, class, filled, by_window): new, quoted, signature or notice, for every line of every body."""
     units = materialize(message_units(messages, key), "message-units")
-    placed = materialize(units.join(earlier_units(units, key), key, "left"), "placed-units")
-    seen = placed.select(key, "quoted").join(notice_units(placed, key), key, "left").join(closing_units(units, key), key, "left")
+    earlier = materialize(earlier_units(units, key), "earlier-units")
+    placed = units.select(key, "thread", "who", "units").join(earlier, key, "left")
+    seen = earlier.join(notice_units(placed, key), key, "full").join(closing_units(units, key), key, "full")
     kind = messages.schema[key].dataType.simpleString()
     names = ("quoted", "notices", "closings")
 

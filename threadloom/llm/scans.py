@@ -8,10 +8,12 @@
    text line of the document, over furniture and page ends. The corpus decides whether
    the word keeps the hyphen, and a misread half is corrected in the whole.
 3. Misread words: word and word-pair counts over the whole corpus (clean and scanned
-   pages) are the language model; the channel is a table of character confusions. Each
-   distinct word of scanned pages that no clean page knows gets its candidates by
-   inverting the table and looking the results up in the counts. Viterbi decodes each
-   line over the candidates of its words. Numbers with letter shapes need no counts.
+   pages) are the language model; the channel is a table of character confusions, whose
+   probabilities are estimated from the words that have one reading only. Every word has
+   a stroke key that no confusion of the table changes, so the candidates of a doubtful
+   word, with any number of confusions and of any length, are the known words of its key,
+   verified by an alignment. Viterbi decodes each line over the candidates of its words.
+   Numbers with letter shapes need no counts.
 
 Counts, candidates and decoding are joins and aggregations; nothing is collected.
 
@@ -30,10 +32,9 @@ from __future__ import annotations
 
 import math
 import re
-from itertools import combinations, product
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructType
 from pyspark.sql.window import Window
@@ -50,7 +51,6 @@ DIGITS = str.maketrans({"O": "0", "o": "0", "Q": "0", "D": "0", "I": "1", "l": "
 
 HYPHENS = "-‐‑¬­"
 _STRIP = " \t\r.,;:!?()[]{}\"'“”‘’„«»…"
-_STRIP_SQL = r"^[\s.,;:!?()\[\]{}\"'“”‘’„«»…]+|[\s.,;:!?()\[\]{}\"'“”‘’„«»…]+$"
 _ONE = str.maketrans({"0": "o", "1": "l", "i": "l", "í": "l", "ì": "l", "|": "l", "!": "l", "5": "s", "$": "s", "8": "b", "6": "b", "h": "b", "9": "g", "q": "g", "@": "a", "+": "t", "f": "t", "c": "e", "u": "n"})
 _MERGE = (("ﬁ", "tl"), ("ﬂ", "tl"), ("rn", "m"), ("rl", "n"), ("el", "d"), ("ll", "n"), ("vv", "w"))
 
@@ -248,39 +248,83 @@ def text_lines(pages: DataFrame, furnished: DataFrame) -> DataFrame:
     )
 
 
-def variants(token: str, most: int = 2) -> list[tuple[str, float]]:
-    """(word, log channel probability) of what may have been printed for a token."""
-    hard = [i for i, c in enumerate(token) if c in HARD]
-    bases: list[tuple[str, float]] = []
-    if len(hard) <= 4:
-        for choice in product(*[HARD[token[i]] for i in hard]):
-            s = list(token)
-            for i, c in zip(hard, choice):
-                s[i] = c
-            bases.append(("".join(s), -0.1 * len(hard)))
-    if token and not hard:
-        bases = [(token, 0.0)]
-    elif bases and len(hard) < len(token):
-        bases.append((token, 0.0))
-    out: dict[str, float] = {}
-    for base, p in bases:
-        spots = [(i, len(o), t) for i in range(len(base)) for o, ts in SOFT.items() if base.startswith(o, i) for t in ts]
-        if p or base != token:
-            out[base] = max(out.get(base, -99), p)
-        for k in range(1, (most if len(base) <= 24 else 1) + 1):
-            if k == 2 and len(spots) > 40:
-                break
-            for chosen in combinations(spots, k):
-                if any(a[0] + a[1] > b[0] for a, b in zip(chosen, chosen[1:])):
-                    continue
-                s, shift = base, 0
-                for i, n, t in chosen:
-                    s = s[: i + shift] + t + s[i + shift + n :]
-                    shift += len(t) - n
-                q = p - 0.7 * k - 1.0 * (k - 1)
-                if s != token:
-                    out[s] = max(out.get(s, -99), q)
-    return sorted(out.items(), key=lambda x: (-x[1], x[0]))
+#: a hard sign costs this much, a first and a further soft confusion of mean frequency that much
+HARD_COST, FIRST_COST, NEXT_COST = 0.1, 0.7, 1.7
+#: letters above which each confusion counts for less
+SHARED_LENGTH = 10
+#: weight of the estimated log probabilities against the word counts
+TEMPER = 0.25
+
+# Strokes each character consists of, as far as scanners tell; closed under HARD and SOFT.
+_STROKES = {"e": "e0oc€q", "l": "l1i|!íìtf+r", "s": "s5$", "a": "a@", "2": "nuhb6g89ﬁﬂﬀ", "3": "m", "4": "d", "5": "w"}
+_WIDE = (("2", "ll"), ("3", "lll"), ("4", "el"), ("5", "vv"))
+
+
+def stroke_keys(word: Column) -> Column:
+    """Keys that no confusion of the table changes: one, or two where q may be read as 9 or as O."""
+    low = F.lower(word)
+    one = "".join(chars for chars in _STROKES.values())
+    to = "".join(k * len(chars) for k, chars in _STROKES.items())
+
+    def key(text: Column) -> Column:
+        out = F.translate(text, one, to)
+        for short, long in _WIDE:
+            out = F.replace(out, F.lit(short), F.lit(long))
+        return out
+
+    return F.array_distinct(F.array(key(low), key(F.translate(low, "q", "g"))))
+
+
+def alignment(token: str, word: str, cost: dict[tuple[str, str], float] | None = None) -> tuple[float, list[tuple[str, str]]] | None:
+    """(channel log probability, soft confusions) of reading ``word`` as ``token``; None if it can't be."""
+    n, m, far = len(token), len(word), 1e9
+    best = [[far] * (m + 1) for _ in range(n + 1)]
+    back: list[list] = [[None] * (m + 1) for _ in range(n + 1)]
+    best[0][0] = 0.0
+    for i in range(n):
+        row = best[i]
+        soft = [(o, ts) for o, ts in SOFT.items() if token.startswith(o, i)]
+        hard = HARD.get(token[i], ())
+        for j in range(m + 1):
+            at = row[j]
+            if at >= far:
+                continue
+            moves = [(1, 1, at, None)] if j < m and token[i] == word[j] else []
+            moves += [(1, len(t), at + HARD_COST, None) for t in hard if word.startswith(t, j)]
+            moves += [(len(o), len(t), at + (NEXT_COST - FIRST_COST) + (cost.get((o, t), FIRST_COST) if cost else FIRST_COST), (o, t)) for o, ts in soft for t in ts if word.startswith(t, j)]
+            for di, dj, c, slip in moves:
+                if c < best[i + di][j + dj]:
+                    best[i + di][j + dj] = c
+                    back[i + di][j + dj] = (i, j, slip)
+    if best[n][m] >= far:
+        return None
+    slips, i, j = [], n, m
+    while i or j:
+        i, j, slip = back[i][j]
+        if slip:
+            slips.append(slip)
+    return (NEXT_COST - FIRST_COST if slips else 0.0) - best[n][m], slips
+
+
+def cased(low: str) -> list[str]:
+    """A lower-case word in lower, Title and UPPER case, each part of a compound by itself."""
+    out = [""]
+    for p in re.split(r"([-'’&/])", low):
+        out = [x + y for x in out for y in dict.fromkeys((p, p[:1].upper() + p[1:]))]
+    return list(dict.fromkeys([*out, low.upper()]))
+
+
+def reading(token: str, low: str, cost: dict[tuple[str, str], float] | None = None) -> tuple[str, float, list] | None:
+    """(word, channel, confusions): the case of a known word in which it most likely was read as ``token``."""
+    best = None
+    for w in cased(low):
+        found = alignment(token, w, cost) if w != token else None
+        if found:
+            # the longer the word, the less another one shares its strokes by chance
+            found = (found[0] * min(1.0, SHARED_LENGTH / len(w)), found[1])
+            if best is None or found[0] > best[1]:
+                best = (w, *found)
+    return best
 
 
 def repaired_number(token: str) -> str | None:
@@ -300,18 +344,27 @@ def regular(token: str) -> bool:
     return all(p.islower() or p.isupper() or (p[:1].isupper() and (p[1:].islower() or len(p) == 1)) for p in re.split(r"[-'’&/]", token) if p)
 
 
-_CANDIDATE = ArrayType(StructType().add("word", StringType()).add("channel", DoubleType()))
+_SLIPS = ArrayType(StructType().add("o", StringType()).add("t", StringType()))
 
 
-@F.pandas_udf(_CANDIDATE)
-def _variants(token: pd.Series) -> pd.Series:
-    out = []
-    for t in token:
-        n = repaired_number(t)
-        own = [{"word": n, "channel": 5.0}] if n else []
-        own += [{"word": w, "channel": c} for w, c in variants(t) if regular(w)]
-        out.append(own)
-    return pd.Series(out)
+@F.pandas_udf(_SLIPS)
+def _slips(token: pd.Series, low: pd.Series) -> pd.Series:
+    found = (reading(t, w) for t, w in zip(token, low))
+    return pd.Series([[{"o": o, "t": p} for o, p in f[2]] if f else [] for f in found], dtype=object)
+
+
+def _reader(costs: dict[tuple[str, str], float]):
+    @F.pandas_udf(StructType().add("word", StringType()).add("channel", DoubleType()))
+    def read(token: pd.Series, low: pd.Series) -> pd.DataFrame:
+        found = [reading(t, w, costs) for t, w in zip(token, low)]
+        return pd.DataFrame({"word": [f[0] if f else None for f in found], "channel": [f[1] if f else None for f in found]})
+
+    return read
+
+
+@F.pandas_udf(StringType())
+def _number_of(token: pd.Series) -> pd.Series:
+    return token.map(repaired_number)
 
 
 @F.pandas_udf(BooleanType())
@@ -320,7 +373,7 @@ def _regular(token: pd.Series) -> pd.Series:
 
 
 def _token(column):
-    return F.regexp_replace(column, _STRIP_SQL, "")
+    return F.btrim(column, F.lit(_STRIP))
 
 
 def tokens(lines: DataFrame) -> DataFrame:
@@ -331,7 +384,7 @@ def tokens(lines: DataFrame) -> DataFrame:
     return (
         lines.select("page_key", "line_no", "scanned", "broken", "continued", "starts", F.split(F.trim("line"), r"\s+").alias("ws"))
         .select("page_key", "line_no", "scanned", "broken", "continued", "starts", "ws", F.size("ws").alias("n"), F.posexplode("ws").alias("pos", "w"))
-        .withColumn("starts", F.when(F.col("pos") == 0, F.col("starts")).otherwise(F.get("ws", F.col("pos") - 1).rlike(r"[.?!][\"'”’)]*$")))
+        .withColumn("starts", F.when(F.col("pos") == 0, F.col("starts")).otherwise(F.right(F.rtrim(F.get("ws", F.col("pos") - 1), F.lit("\"'”’)")), F.lit(1)).isin(".", "?", "!")))
         .withColumn("token", _token("w"))
         .withColumn("half", (F.col("broken") & (F.col("pos") == F.col("n") - 1)) | (F.col("continued") & (F.col("pos") == 0)))
         .where("token <> ''")
@@ -372,29 +425,60 @@ class Repair:
             .select("token", F.lit(False).alias("scanned"), F.lit(False).alias("lower"))
         )
 
+    def _keyed_words(self) -> DataFrame:
+        """(key, low, clean, scans, n, lower): the known words by stroke key."""
+        return self.words.select(
+            F.explode(stroke_keys(F.col("word"))).alias("key"), F.col("word").alias("low"), "clean", "scans", (F.col("clean") + F.col("scans")).alias("n"), F.coalesce("lower", F.lit(False)).alias("lower")
+        )
+
+    def _costs(self, matched: DataFrame) -> dict[tuple[str, str], float]:
+        """Cost of each soft confusion, from how often the words with one reading show it.
+
+        A row a confusion of the fixed table comes to the driver, no more.
+        """
+        clear = matched.where("clean > 0 and n >= 4 * own").groupBy("token").agg(F.min("low").alias("low"), F.max("low").alias("other"), F.max("own").alias("own")).where("low = other")
+        seen = clear.select("own", F.explode(_slips("token", "low")).alias("s")).groupBy("s.o", "s.t").agg(F.sum("own").alias("n")).collect()
+        pairs = [(o, t) for o, ts in SOFT.items() for t in ts]
+        times = dict.fromkeys(pairs, 1.0)
+        for r in seen:
+            times[r["o"], r["t"]] += r["n"]
+        mean = sum(math.log(n) for n in times.values()) / len(pairs)
+        return {p: max(0.2, FIRST_COST - TEMPER * (math.log(n) - mean)) for p, n in times.items()}
+
     def _candidates(self) -> DataFrame:
         """(token, cands array<word, score>): readings of each distinct doubtful word."""
         known = self.words.where("clean > 0").select(F.col("word").alias("low"), F.lit(True).alias("known"))
-        doubtful = (
+        doubtful = materialize(
             self.tokens.where("scanned and not half")
             .groupBy("token")
             .agg(F.count("*").alias("own"))
             .withColumn("low", F.lower("token"))
             .join(known, "low", "left")
             .where(F.col("known").isNull() | ~_regular("token"))
-            .where(F.col("token").rlike(r"\p{L}|[@+]") & (F.length("token") <= 40))
+            .where(F.col("token").rlike(r"\p{L}|[@+]"))
+            .select("token", "own"),
+            "doubtful-words",
         )
-        looked = doubtful.select("token", "own", F.explode(_variants("token")).alias("v")).select("token", "own", "v.word", "v.channel")
-        counts = self.words.select(F.col("word").alias("low"), "clean", "scans", "lower")
-        return (
-            looked.withColumn("low", F.lower("word"))
-            .join(counts, "low", "left")
-            .where(F.col("low").isNotNull() & ((F.col("channel") > 0) | (F.coalesce("clean", F.lit(0)) + F.coalesce("scans", F.lit(0)) > 0)))
+        matched = materialize(
+            doubtful.withColumn("key", F.explode(stroke_keys(F.col("token"))))
+            .join(self._keyed_words(), "key")
+            .select("token", "own", "low", "clean", "n", "lower")
+            .distinct()
             # a reading must be far more frequent than the doubtful form, unless the form is no word at all
-            .withColumn("n", F.coalesce("clean", F.lit(0)) + F.coalesce("scans", F.lit(0)))
-            .where((F.col("channel") > 0) | (F.col("n") >= 4 * F.col("own")) | ((F.coalesce("clean", F.lit(0)) > 0) & (F.col("n") >= F.col("own"))) | (F.col("token").rlike(r"[@+0-9|€$íìﬁﬂ!]|\p{Ll}[I]") & (F.coalesce("clean", F.lit(0)) + F.col("n") > 0)))
+            .where((F.col("n") >= 4 * F.col("own")) | ((F.col("clean") > 0) & (F.col("n") >= F.col("own"))) | F.col("token").rlike(r"[@+0-9|€$íìﬁﬂ!]|\p{Ll}[I]")),
+            "matched-words",
+        )
+        self.costs = self._costs(matched)
+        read = matched.withColumn("r", _reader(self.costs)("token", "low")).where("r.word is not null").select("token", "own", "r.word", "r.channel", "n", "lower")
+        numbers = doubtful.select("token", "own", _number_of("token").alias("word")).where("word is not null and word <> token")
+        counts = self.words.select(F.col("word").alias("low"), (F.col("clean") + F.col("scans")).alias("n"))
+        numbered = numbers.join(counts, F.lower("word") == F.col("low"), "left").select(
+            "token", "own", "word", F.lit(5.0).alias("channel"), F.coalesce("n", F.lit(0)).alias("n"), F.lit(False).alias("lower")
+        )
+        return (
+            read.unionByName(numbered)
             .groupBy("token")
-            .agg(F.sort_array(F.collect_list(F.struct((-F.log1p("n") - F.col("channel")).alias("cost"), "word", "channel", "n", F.coalesce("lower", F.lit(False)).alias("lower")))).alias("cands"), F.max("own").alias("own"))
+            .agg(F.sort_array(F.collect_list(F.struct((-F.log1p("n") - F.col("channel")).alias("cost"), "word", "channel", "n", "lower"))).alias("cands"), F.max("own").alias("own"))
         )
 
     def misread(self) -> DataFrame:
@@ -433,12 +517,24 @@ class Repair:
     def broken(self) -> DataFrame:
         """(page_key, line_no, head, hyphen, tail, word): whole words of broken lines."""
         parts = self.lines.where("broken").select("page_key", "line_no", "head", "hyphen", _token("tail").alias("tail")).where("tail <> ''")
-        joined = parts.groupBy("head", "hyphen", "tail").agg(F.count("*").alias("n")).select("head", "hyphen", "tail")
-        looked = joined.withColumn("v", F.explode(_whole("head", "hyphen", "tail"))).select("head", "hyphen", "tail", "v.word", "v.channel", F.lower("v.word").alias("low"))
+        joined = parts.select("head", "hyphen", "tail").distinct()
+        plain = F.struct(F.concat("head", "tail").alias("whole"), F.lit(0.0).alias("base"))
+        dashed = F.struct(F.concat("head", F.lit("-"), "tail").alias("whole"), F.lit(-0.5).alias("base"))
+        forms = joined.select("head", "hyphen", "tail", F.explode(F.when(F.col("hyphen").isin(*"-‐‑"), F.array(plain, dashed)).otherwise(F.array(plain))).alias("f")).select("head", "hyphen", "tail", "f.*")
         counts = self.words.select(F.col("word").alias("low"), (F.col("clean") * 20 + F.col("scans")).alias("n"))
+        as_read = forms.join(counts, F.lower("whole") == F.col("low"), "left").select(
+            "head", "hyphen", "tail", F.col("whole").alias("word"), F.when(F.col("n").isNotNull(), F.log1p("n") + F.col("base")).otherwise(F.col("base") - 6).alias("score")
+        )
+        keyed = self._keyed_words().select("key", "low", (F.col("clean") * 20 + F.col("scans")).alias("n"))
+        repaired = (
+            forms.withColumn("key", F.explode(stroke_keys(F.col("whole"))))
+            .join(keyed, "key")
+            .withColumn("r", _reader(self.costs)("whole", "low"))
+            .where("r.word is not null")
+            .select("head", "hyphen", "tail", "r.word", (F.log1p("n") + F.col("base") + F.col("r.channel") - 3).alias("score"))
+        )
         best = (
-            looked.join(counts, "low", "left")
-            .withColumn("score", F.when(F.col("n").isNotNull(), F.log1p("n") + F.col("channel")).otherwise(F.col("channel") - 6))
+            as_read.unionByName(repaired)
             .groupBy("head", "hyphen", "tail")
             .agg(F.max_by("word", F.struct("score", "word")).alias("word"))
         )
@@ -515,21 +611,6 @@ def _cased(word: str, starts: bool, seen_lower: bool) -> str:
     return word[0].lower() + word[1:] if seen_lower and not starts else word[0].upper() + word[1:]
 
 
-@F.pandas_udf(_CANDIDATE)
-def _whole(head: pd.Series, hyphen: pd.Series, tail: pd.Series) -> pd.Series:
-    out = []
-    for h, y, t in zip(head, hyphen, tail):
-        own = {h + t: 0.0}
-        if y in "-‐‑":
-            own.setdefault(h + "-" + t, -0.5)
-        for w, c in list(own.items()):
-            for v, q in variants(w, 2 if len(w) <= 18 else 1):
-                if regular(v):
-                    own[v] = max(own.get(v, -99.0), c + q - 3.0)
-        out.append([{"word": w, "channel": c} for w, c in own.items()])
-    return pd.Series(out)
-
-
 @F.pandas_udf(StringType())
 def _repaired(raw: pd.Series, fixes: pd.Series, whole: pd.Series, continued: pd.Series) -> pd.Series:
     out = []
