@@ -193,3 +193,32 @@ def test_sentences_undo_wraps_and_skip_noise():
     assert [s for _, _, s in language.sentences(text)] == ["The night shift counted the pallets again."]
     a, b, _ = language.sentences(text)[0]
     assert text[a:b].startswith("The night") and text[a:b].endswith("again.")
+
+
+def test_leaks_of_short_items(spark):
+    eight = "purple herons circled above twelve quiet brick chimneys"
+    other = "green lanterns hung along the narrow canal while seven drummers marched past the shuttered bakery and the crowd sang old songs until dawn came"
+    part = " ".join(other.split()[5:16])  # 11 of 25 words
+    common = "please let me know by friday whether the boxes are there"
+    items = spark.createDataFrame([(1, eight), (2, other), (3, common), (4, common + " or not"), (5, "two words"), (6, None)], "item_id long, text string")
+    docs = [(1, f"Before it {eight} after it."), (2, f"They said {part} again."), (3, "Please let me know by Friday."), (4, " ".join(other.split()[:3])), (5, "two words")]
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1), (2, 2)}
+
+
+def test_leaks_do_not_depend_on_the_size_of_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"{ITEM} Number {i} of the list stands in room {i + 3} beside bench {i * 7}.") for i in range(6)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, ITEM), (2, "Number 4 of the list stands in room 7 beside bench 28. " * 2)], "doc_id long, text string")
+    found = lambda: {tuple(r) for r in leakage.leaks(docs, items).collect()}
+    whole = found()
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 60)
+    assert found() == whole
+
+
+def test_language_dictionaries_read_whole_texts(spark):
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.sample(EN, 3)), "en") for i in range(30)] + [(100 + i, " ".join(rng.sample(DE, 3)), "de") for i in range(30)]
+    filler = "job=1 ms=2\n" * 800  # the sentences stand after 8,000 characters
+    fit = lambda rows: language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).content
+    short = fit(texts)
+    assert short and fit([(i, filler + t, c) for i, t, c in texts]) == short

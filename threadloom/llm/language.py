@@ -6,8 +6,8 @@ share of bytes saved against the second smallest; under ``narrow`` the sentence
 is rejected (null language). Case and diacritics are folded before, so that
 shouted or transliterated text meets the same dictionary.
 
-The dictionaries are fitted on a bounded sample of labelled documents
-(``train_docs`` a language). As labels can be wrong, the sample is split in two
+The dictionaries are fitted on a bounded sample: whole texts of at most ``train_docs``
+labelled documents a language, of whose sentences ``dictionary_bytes`` fit a dictionary. As labels can be wrong, the sample is split in two
 halves that judge each other: a sentence enters a dictionary only if the other
 half's dictionaries agree with its label. All classification covers every row.
 
@@ -189,11 +189,11 @@ class Model:
         return (sizes[0][1] if confidence >= self.narrow else None), confidence
 
 
-def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", train_docs: int = 250) -> Model:
-    """Dictionaries from at most ``train_docs`` labelled documents a language."""
+def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", train_docs: int = 250, dictionary_bytes: int = 96 * 1024) -> Model:
+    """Dictionaries of ``dictionary_bytes`` from at most ``train_docs`` labelled documents a language."""
     low = Window.partitionBy("code").orderBy(F.xxhash64(F.col(key)), F.col(key))
     sample = (
-        documents.select(key, F.substring(text, 1, 6000).alias("text"), label_code(F.col(label)).alias("code"))
+        documents.select(key, F.col(text).alias("text"), label_code(F.col(label)).alias("code"))
         .where(F.col("code").isin(*NOTATIONS) & F.col("text").isNotNull())
         .withColumn("n", F.row_number().over(low))
         .where(F.col("n") <= train_docs)
@@ -214,7 +214,7 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", label: st
             halves[crc32(found[0].encode()) % 2].setdefault(code, []).append(found)
     kept = [{lang: [t for d in docs for t in d] for lang, docs in h.items()} for h in halves]
     for _ in range(2):
-        models = [Model(k) for k in kept]
+        models = [Model(k, dictionary_bytes) for k in kept]
         kept = [
             {lang: [t for d in docs for t in models[1 - i].agreeing(d, lang)] for lang, docs in halves[i].items()}
             if models[1 - i].content
@@ -225,7 +225,7 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", label: st
     for lang in NOTATIONS:
         a, b = (k.get(lang, []) for k in kept)
         merged[lang] = [t for pair in zip(a, b) for t in pair] + a[len(b) :] + b[len(a) :]
-    return Model(merged)
+    return Model(merged, dictionary_bytes)
 
 
 def segments(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,34 +9,43 @@ gaps, form a passage; a passage must be dense and longer than a stock phrase. Th
 best two passages, in either order, must hold ``share`` of the item's words.
 Sentences that several items share (instructions) never count.
 
-The items are the bounded side: their index is sent to the tasks in blocks of at
-most ``BLOCK_WORDS`` words, and a larger item table takes more passes over the
-corpus, never a larger broadcast. Nothing is shuffled.
+A stock phrase has under ``PHRASE`` words. Where a third of the item is less than that,
+a passage of a third of the item is enough, if it holds a seed that no other item has.
+
+The items are sent to the tasks in blocks of at most ``BLOCK_WORDS`` words; the driver
+holds one block at a time, and a larger item table takes more passes over the corpus,
+never a larger broadcast. Shared sentences are counted by Spark. Nothing of the corpus
+is shuffled.
 
 Defined results
-  * null, empty and short texts (under ``SEED`` words) hold and leak nothing
+  * null, empty and very short texts (under ``SEED`` words) hold and leak nothing: every
+    phrase of three words is common
   * repeated documents and items each give their rows; extra columns are ignored
   * equal tiles: the earlier one in the item, then in the document, is marked
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from threadloom.llm.language import fold
-from threadloom.runtime import spread
+from threadloom.runtime import materialize, spread
 
 #: words in a seed; a leaked passage with one word in five altered still has several
 SEED = 4
 MIN_TILE = 3
+#: words of a passage that is more than a stock phrase, and of one that may be joined by a second
+PHRASE, LEADING = 12, 15
 #: diagonals in a band of seeds
 BAND = 12
 #: words of items in one broadcast index (a few dozen MB)
@@ -94,6 +103,22 @@ class ItemIndex:
         h, o, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, owner, place))
         order = np.argsort(h, kind="stable")
         self.hash, self.owner, self.place = h[order], o[order].astype(np.int64), p[order].astype(np.int64)
+        # seeds that one item alone has, by their place in it
+        first, last = np.searchsorted(self.hash, self.hash, "left"), np.searchsorted(self.hash, self.hash, "right") - 1
+        alone = (self.owner[first] == self.owner[last]) & (self.hash > 0) if len(h) else np.zeros(0, bool)
+        self.alone = [np.zeros(len(x), bool) for x in self.ids]
+        for n, p in zip(self.owner[alone].tolist(), self.place[alone].tolist()):
+            self.alone[n][p] = True
+
+    def least(self, item: int, share: float) -> int:
+        """Words a passage of this item must have."""
+        return min(PHRASE, max(SEED, math.ceil(share * self.sizes[item])))
+
+    def own(self, item: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Without tiles that a passage of a short item may share with other items."""
+        if self.sizes[item] >= 3 * PHRASE:
+            return found
+        return [t for t in found if self.alone[item][t[0] : t[0] + max(1, t[2] - SEED + 1)].any()]
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, place in item, place in document) of every shared seed."""
@@ -181,7 +206,7 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = MIN_TILE) -> list[tupl
     return out
 
 
-def passages(found: list[tuple[int, int, int]], counts: np.ndarray, gap: int = 4, least: int = 12) -> list[tuple[int, int, int]]:
+def passages(found: list[tuple[int, int, int]], counts: np.ndarray, gap: int = 4, least: int = PHRASE) -> list[tuple[int, int, int]]:
     """(matched words that count, item start, document start) of dense passages, best first.
 
     Tiles are chained while both gaps are at most ``gap`` words; a chain counts if
@@ -207,11 +232,16 @@ def passages(found: list[tuple[int, int, int]], counts: np.ndarray, gap: int = 4
     return sorted(out, reverse=True)
 
 
-def two_best(found: list[tuple[int, int, int]], lead: int = 15) -> list[tuple[int, int, int]]:
+def two_best(found: list[tuple[int, int, int]], lead: int = LEADING) -> list[tuple[int, int, int]]:
     """The best passage, and a second one only beside a first longer than stock phrases."""
     return found[: 2 if found and found[0][0] >= lead else 1]
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _sentence_words(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: sorted({" ".join(words(x)) for x in _SENTENCE.split(t or "")} - {""}))
+
+
 def leaks(
     documents: DataFrame,
     items: DataFrame,
@@ -222,24 +252,21 @@ def leaks(
 ) -> DataFrame:
     """(doc_key, item_key, coverage, matched_words, passages) of each leak."""
     spark = documents.sparkSession
-    rows = [(r[0], r[1]) for r in items.select(item_key, text).orderBy(item_key).toLocalIterator()]
-    times = Counter(s for _, t in rows for s in {" ".join(words(x)) for x in _SENTENCE.split(t or "")})
-    shared = {s for s, n in times.items() if n > 1}
-    blocks, held, size = [], [], 0
-    for r in rows:
-        n = len(r[1] or "") // 4
-        if held and size + n > BLOCK_WORDS:
-            blocks.append(held)
-            held, size = [], 0
-        held.append(r)
-        size += n
-    if held:
-        blocks.append(held)
+    rows = items.select(F.col(item_key).alias("item"), F.col(text).alias("text")).where("item is not null")
+    # sentences that more than one item has
+    said = rows.select("item", F.explode(_sentence_words("text")).alias("sentence")).groupBy("sentence").agg(F.min("item").alias("a"), F.max("item").alias("b"), F.count("*").alias("n"))
+    shared = rows.select("item", F.explode(_sentence_words("text")).alias("sentence")).join(said.where("n > 1"), "sentence").groupBy("item").agg(F.collect_set("sentence").alias("shared"))
+    total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 4
+    blocks = max(1, math.ceil(1.25 * total / BLOCK_WORDS)) if total > BLOCK_WORDS else 1
+    held = rows.join(shared, "item", "left").withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+    if blocks > 1:
+        held = materialize(held, "items")
     doc_kind, item_kind = documents.schema[doc_key].dataType, items.schema[item_key].dataType
     schema = f"doc {doc_kind.simpleString()}, item {item_kind.simpleString()}, coverage double, matched_words int, passages int"
 
-    def one(block: list[tuple]) -> DataFrame:
-        index = spark.sparkContext.broadcast(ItemIndex(block, shared))
+    def one(number: int) -> DataFrame:
+        block = sorted(((r["item"], r["text"], r["shared"] or []) for r in held.where(F.col("block") == number).toLocalIterator()), key=lambda r: r[0])
+        index = spark.sparkContext.broadcast(ItemIndex([r[:2] for r in block], {s for r in block for s in r[2]}))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ix = index.value
@@ -248,7 +275,8 @@ def leaks(
                 for row, t in enumerate(batch.column(1).to_pylist()):
                     ids = np.array([ix.vocabulary.get(w, -1) for w in words(t)], np.int64)
                     for n in ix.candidates(ids, share):
-                        best = two_best(passages(tiles(ix.ids[n], ids), ix.counts[n]))
+                        least = ix.least(n, share)
+                        best = two_best(passages(ix.own(n, tiles(ix.ids[n], ids)), ix.counts[n], least=least), LEADING if least == PHRASE else least)
                         own, whole = sum(p[0] for p in best), len(ix.ids[n])
                         if best and own >= share * whole:
                             at.append(row)
@@ -269,8 +297,6 @@ def leaks(
 
         return spread(documents.select(F.col(doc_key).alias("doc"), F.col(text).alias("text"))).mapInArrow(run, schema)
 
-    if not blocks:
-        found = spark.createDataFrame([], schema)
-    else:
-        found = reduce(DataFrame.unionByName, [one(b) for b in blocks])
+    parts = [materialize(one(n), "leaks") if blocks > 1 else one(n) for n in range(blocks)]
+    found = reduce(DataFrame.unionByName, parts)
     return found.withColumnRenamed("doc", doc_key).withColumnRenamed("item", item_key)
