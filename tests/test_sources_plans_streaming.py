@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 
+from threadloom.operators import delivery_dedup
 from threadloom.operators import changes
 from threadloom.plans import answering as A
 from threadloom.sources import mail
@@ -116,5 +117,16 @@ def test_notification_stream(spark, tmp_path):
     for n in range(2):
         df.where(f"delivery_id div 6 = {n}").coalesce(1).write.mode("append").parquet(src)
     stream.accepted_notifications(stream.source(spark, src, df.schema, 1), target, str(tmp_path / "cp")).awaitTermination()
-    ids = [r[0] for r in spark.read.parquet(target).select("pubsub_message_id").collect()]
-    assert len(ids) == len(set(ids)) == 4
+    accepted = lambda: sorted(tuple(r) for r in delivery_dedup.accepted_rows(spark, target).select("pubsub_message_id", "delivery_id").collect())
+    once = accepted()
+    assert len({i for i, _ in once}) == len(once) == 4
+    # a restart on the same checkpoint: the repeats that come now are still repeats
+    df.withColumn("delivery_id", df["delivery_id"] + 100).coalesce(1).write.mode("append").parquet(src)
+    more = spark.createDataFrame([(300, None, "odd", None), (301, None, "910000000000000009", None)], df.schema)
+    more.coalesce(1).write.mode("append").parquet(src)
+    stream.accepted_notifications(stream.source(spark, src, df.schema, 1), target, str(tmp_path / "cp")).awaitTermination()
+    assert accepted() == sorted([*once, ("odd", 300), ("910000000000000009", 301)])
+    # a batch that is replayed after a failure changes nothing
+    again = accepted()
+    delivery_dedup.foreach_batch(target)(df.where("delivery_id div 6 = 1"), 1)
+    assert accepted() == again

@@ -23,6 +23,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threadloom.runtime import materialize
 
@@ -83,26 +84,22 @@ def _arrival() -> Column:
 def merge_ranges(numbers: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Disjoint maximal ranges per (producer, block) of accepted numbers and a prior state.
 
-    Two passes of a running fold over at most ``BLOCK`` sorted pieces a row.
+    Gaps and islands: a piece that starts beyond everything before it opens a range. Each
+    window holds at most ``BLOCK`` pieces.
     """
-    pieces = numbers.groupBy("producer", "block").agg(
-        F.collect_set(F.struct(F.col("seq").alias("lo"), F.col("seq").alias("hi"))).alias("ranges")
-    )
+    pieces = numbers.select("producer", "block", F.col("seq").alias("lo"), F.col("seq").alias("hi"))
     if prior is not None:
-        pieces = (
-            pieces.unionByName(prior.select("producer", "block", "ranges"))
-            .groupBy("producer", "block")
-            .agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-        )
-    step = """
-        aggregate(array_sort(ranges), cast(array() as array<struct<lo: bigint, hi: bigint>>),
-          (acc, r) -> if(size(acc) > 0 and r.lo <= element_at(acc, -1).hi + 1,
-            concat(slice(acc, 1, size(acc) - 1),
-                   array(named_struct('lo', element_at(acc, -1).lo,
-                                      'hi', greatest(element_at(acc, -1).hi, r.hi)))),
-            concat(acc, array(r))))
-    """
-    return pieces.select("producer", "block", F.expr(step).alias("ranges"))
+        pieces = pieces.unionByName(prior.select("producer", "block", F.explode("ranges").alias("r")).select("producer", "block", "r.lo", "r.hi"))
+    in_order = Window.partitionBy("producer", "block").orderBy("lo", "hi")
+    reached = F.max("hi").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        pieces.withColumn("opens", (F.col("lo") > F.coalesce(reached + 1, F.lit(-1))).cast("int"))
+        .withColumn("island", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .groupBy("producer", "block", "island")
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .groupBy("producer", "block")
+        .agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
+    )
 
 
 def accept(batch: DataFrame, state: SeenState) -> tuple[DataFrame, DataFrame]:
@@ -162,7 +159,7 @@ def deduplicate(deliveries: DataFrame, slices: int = 2) -> tuple[DataFrame, Data
     is always in the same or an earlier span.
     """
     spark = deliveries.sparkSession
-    rows = keyed(deliveries).withColumn("at", F.unix_micros("received_at"))
+    rows = materialize(keyed(deliveries).withColumn("at", F.unix_micros("received_at")), "deliveries")
     edges = rows.approxQuantile("at", [i / slices for i in range(1, slices)], 0.02) if slices > 1 else []
     edges = sorted({int(e) for e in edges})
     state, kept, dropped = SeenState.empty(spark), [], []
@@ -181,15 +178,34 @@ def deduplicate(deliveries: DataFrame, slices: int = 2) -> tuple[DataFrame, Data
     return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, dropped), state
 
 
-def foreach_batch(target_path: str, state_box: list[SeenState]):
-    """Sink for ``writeStream.foreachBatch``: appends accepted rows, carries the state."""
+def saved_state(spark: SparkSession, target_path: str, batch_id: int) -> SeenState:
+    """The state after a batch, as ``foreach_batch`` wrote it; empty before the first."""
+    path = f"{target_path}/state/batch={batch_id}"
+    if batch_id < 0:
+        return SeenState.empty(spark)
+    return SeenState(spark.read.schema(STATE_SCHEMA).parquet(f"{path}/ranges"), spark.read.schema(KEYS_SCHEMA).parquet(f"{path}/keys"))
+
+
+def foreach_batch(target_path: str):
+    """Sink for ``writeStream.foreachBatch``: writes the accepted rows of each batch.
+
+    The state after a batch is a table of the batch's number beside them. A batch starts
+    from the state of the number before its own, so a restarted stream goes on where it
+    stopped, and a batch that is replayed writes the same rows and state once more.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = keyed(batch)
-        accepted, _ = accept(rows, state_box[0])
-        batch.join(accepted.select("delivery_id"), "delivery_id", "left_semi").write.mode("overwrite").parquet(
-            f"{target_path}/batch={batch_id}"
-        )
-        state_box[0] = advance(state_box[0], accepted)
+        spark = batch.sparkSession
+        before = saved_state(spark, target_path, batch_id - 1)
+        accepted, _ = accept(materialize(keyed(batch), "deliveries"), before)
+        batch.join(accepted.select("delivery_id"), "delivery_id", "left_semi").write.mode("overwrite").parquet(f"{target_path}/accepted/batch={batch_id}")
+        path = f"{target_path}/state/batch={batch_id}"
+        merge_ranges(accepted.where("seq is not null"), before.ranges).write.mode("overwrite").parquet(f"{path}/ranges")
+        before.keys.unionByName(accepted.where("seq is null").select("message_key")).write.mode("overwrite").parquet(f"{path}/keys")
 
     return write
+
+
+def accepted_rows(spark: SparkSession, target_path: str) -> DataFrame:
+    """All rows a stream has accepted so far."""
+    return spark.read.parquet(f"{target_path}/accepted")

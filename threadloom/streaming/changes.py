@@ -20,8 +20,7 @@ def source(spark: SparkSession, path: str, schema, files_per_batch: int = 16) ->
 
 def accepted_notifications(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Writes each notification once, by seen ranges; runs until the source is drained."""
-    box = [delivery_dedup.SeenState.empty(stream.sparkSession)]
-    sink = delivery_dedup.foreach_batch(target, box)
+    sink = delivery_dedup.foreach_batch(target)
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
