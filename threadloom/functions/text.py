@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 TOKEN = r"([\p{L}\p{N}_]+)"
-# Patterns of amounts, dates and correction cues that validation and graph building share.
+# Patterns of amounts, dates, file names, names and correction cues that validation, memory and graph building share.
 AMOUNT = r"(\$?\d[\d,]*(?:\.\d{2})?)"
 DATE = r"(?i)\b(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\s+\d{1,2}(?:,\s+\d{4})?)\b"
+FILE_NAME = r"(?i)\b([\w.\- ]+\.(?:pdf|docx|txt|html|htm))\b"
+CAPITALISED = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})\b"
+MESSAGE_REF = r"(<[^>]+>)"
 UPDATE_CUE = r"(?i)\b(replaces|replacing|updated from|instead of|now)\b"
 
 
@@ -86,6 +89,98 @@ def dates(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(DATE), F.lit(1)), F.lower)))
 
 
+def found(text: Column, pattern: str) -> Column:
+    """Every match of a pattern's first group, in order; null gives the empty array."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1))
+
+
+def stated_values(text: Column) -> Column:
+    """Distinct amounts, dates, file names and capitalised names of a text, in one spelling, sorted."""
+    plain = lambda pattern: F.transform(found(text, pattern), lambda x: F.lower(F.trim(x)))
+    numbers = F.transform(found(text, AMOUNT), lambda x: F.lower(F.trim(F.translate(x, "$,", ""))))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(numbers, plain(DATE), plain(FILE_NAME), plain(CAPITALISED)), lambda x: x != "")))
+
+
+def value_match(clause: Column, evidence: Column) -> Column:
+    """Share of the values a clause states that the evidence states too; 1 where it states none."""
+    mine = stated_values(clause)
+    return F.when(F.size(mine) == 0, 1.0).otherwise(F.size(F.array_intersect(mine, stated_values(evidence))) / F.size(mine))
+
+
+# Words that carry no content when sentences are compared with a question.
+FUNCTION_WORDS = ("a", "an", "and", "are", "attachment", "by", "does", "email", "for", "in", "is", "it", "meant", "no", "of", "on", "that", "the", "this", "to", "what", "when", "which", "who")
+
+
+def content_tokens(text: Column) -> Column:
+    """Distinct words of over two letters that aren't function words."""
+    words = F.filter(tokenize(F.lower(text)), lambda x: F.length(x) > 2)
+    return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in FUNCTION_WORDS]))
+
+
+def best_sentence(text: Column, wanted: Column) -> Column:
+    """The sentence that shares most content words with ``wanted``; of equal ones that with more
+    content words, then the longer one, then the first. With no wanted words the richest one;
+    null where no sentence shares any. A text without sentences gives its first 240 characters."""
+    whole = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    parts = F.filter(F.split(whole, r"(?<=[.!?])\s+"), lambda x: F.trim(x) != "")
+
+    def scored(x: Column, i: Column) -> Column:
+        own = content_tokens(x)
+        shared = F.when(F.size(wanted) > 0, F.size(F.array_intersect(own, wanted))).otherwise(F.size(own))
+        return F.struct(shared.alias("shared"), F.size(own).alias("words"), F.length(x).alias("length"), (-i).alias("first"), F.trim(x).alias("sentence"))
+
+    best = F.array_max(F.transform(parts, scored))
+    return F.when(F.size(parts) == 0, F.nullif(F.substring(whole, 1, 240), F.lit(""))).when((F.size(wanted) == 0) | (best["shared"] > 0), best["sentence"])
+
+
+def citation_mark(message_id: Column, page_no: Column, kind: Column) -> Column:
+    """Mark of a citation: message, and page where an attachment is cited."""
+    paged = (kind == "attachment") & page_no.isNotNull()
+    return F.when(paged, F.concat(F.lit("[msg: "), message_id, F.lit(", page: "), page_no.cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("[msg: "), message_id, F.lit("]")))
+
+
+def source_mark(name: Column, page_no: Column, ocr: Column) -> Column:
+    """Mark of an attachment page, told apart where its text was recognised."""
+    return F.concat(F.lit("["), name, F.lit(", page: "), page_no.cast("string"), F.when(F.coalesce(ocr, F.lit(False)), F.lit(" (OCR)")).otherwise(F.lit("")), F.lit("]"))
+
+
+def fingerprint(*columns: str) -> Column:
+    """SHA-256 of the canonical JSON of some columns: keys in order, nulls kept apart from ''."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def checked_vector(vector: Column, dimension: int) -> Column:
+    """The vector, which must have ``dimension`` numbers; null stays null."""
+    return F.when(vector.isNull() | (F.size(vector) == dimension), vector).otherwise(
+        F.raise_error(F.concat(F.lit(f"vector of {dimension} numbers expected, got "), F.size(vector).cast("string")))
+    )
+
+
+def shifted_span(source_start: Column, start: Column, end: Column) -> Column:
+    """struct(start, end) in the source of a chunk; both null where the chunk has no place in it."""
+    return F.struct((source_start + start).alias("start"), (source_start + end).alias("end"))
+
+
+def intent(text: Column) -> Column:
+    """What a question asks for, by the first cue that applies."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = F.lit("general")
+    for name, cues in reversed(INTENT_CUES):
+        out = F.when(low.rlike("|".join(cues)), name).otherwise(out)
+    return out
+
+
+# Cues of each intent, in the order in which they are tried.
+INTENT_CUES = (
+    ("comparison", ("compare", "difference", "changed", "draft", "final")), ("instructions", ("instruction",)), ("topic", ("topic",)), ("audience", ("audience",)),
+    ("deadline", ("deadline", "due")), ("company", ("company", "who is requesting")), ("territories", ("territor",)), ("month", ("month",)),
+    ("metadata", ("from", "to", "cc", "subject")), ("time", ("when", "date", "sent")),
+)
+# Wording of questions that compare versions, and that ask for an order of events.
+COMPARISON = r"(?i)\bcompare\b|\bdifference\b|\bchanged\b|\bdraft\b.*\bfinal\b|\bearlier\b.*\b(?:latest|final)\b|\b(?:vs|versus)\b"
+TIMELINE = r"(?i)\btimeline\b|\bsequence\b|\bchronolog|^\s*when did\b"
+
+
 def has_update_cue(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(UPDATE_CUE)
 
@@ -142,8 +237,9 @@ def parse_when(text: Column, *formats: str) -> Column:
 
 
 def sanitize_id(text: Column) -> Column:
-    """Characters that are safe in file names and keys; runs of others become one dash."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9._-]+", "-"), r"^-+|-+$", "")
+    """Characters that are safe in file names and keys; runs of others become one underscore."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[<>]+|[<>]+$", "")
+    return F.coalesce(F.nullif(F.regexp_replace(bare, r"[^A-Za-z0-9._-]+", "_"), F.lit("")), F.lit("message"))
 
 
 def url_path(url: Column) -> Column:

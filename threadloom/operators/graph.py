@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from threadloom.functions.text import has_update_cue
 from threadloom.operators.corpus import first_per_message
+from threadloom.operators.enrichment import ENTITY_TYPES
 
 
 def metadata_relations(messages: DataFrame) -> DataFrame:
@@ -58,3 +59,12 @@ def money_facts(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
         .select("mention_id", "mailbox_id", F.col("c.thread_id").alias("thread_id"), F.col("canonical_name").alias("value"), "created_at", has_update_cue(F.col("c.text")).alias("cue"))
     )
     return supersession(rows, ["mailbox_id", "thread_id"], ["created_at", "mention_id"], "cue")
+
+
+def violations(mentions: DataFrame) -> DataFrame:
+    """Mentions that break the table's checks, with the first that is ``broken``: offsets given in
+    part, a span that ends before it starts, a type that doesn't exist."""
+    return mentions.withColumn(
+        "broken",
+        F.when(F.col("source_start").isNull() != F.col("source_end").isNull(), "offsets").when(F.col("chunk_end") < F.col("chunk_start"), "span").when(~F.col("entity_type").isin(*ENTITY_TYPES), "type"),
+    ).where("broken is not null")

@@ -65,50 +65,72 @@ def token_recall(chunks: DataFrame, queries: DataFrame, key: str, text: Column,
     )
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, key: str, embedding: str, k: int, block: int = 4096) -> DataFrame:
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that hold a whole vector, their matrix) of a list column, from its flat values."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    ok = np.flatnonzero(np.asarray(column.is_valid()) & (sizes > 0))
+    if not len(ok):
+        return ok, np.zeros((0, 0))
+    width = np.bincount(sizes[ok]).argmax()
+    ok = ok[sizes[ok] == width]
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    x = values[column.offsets.to_numpy()[ok][:, None] + np.arange(width)]
+    whole = np.isfinite(x).all(1) & (np.linalg.norm(x, axis=1) > 0)
+    return ok[whole], x[whole]
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, key: str, embedding: str, k: int, block: int = 4096, scope: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, key, score, rank): exact cosine of a query set against all rows.
 
     Queries go out in blocks of ``block`` vectors, so no broadcast grows with the
-    data; each task keeps its k best per query before anything is shuffled. Null and
-    zero vectors take no part.
+    data; each task keeps its k best per query before anything is shuffled. Null, zero and
+    non-finite vectors take no part, nor do those of another length than most of a batch.
+    With ``scope`` a row counts only where its scope columns equal the query's; the last of
+    three may be null in the query, which then takes every value.
     """
     spark = vectors.sparkSession
     total = queries.count()
     numbered = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-total // block)))))
+    firm, loose = list(scope[:2]), list(scope[2:])
+    tags = [F.xxhash64(*firm) if firm else F.lit(0).cast("bigint"), F.coalesce(F.xxhash64(*loose), F.lit(0)) if loose else F.lit(0).cast("bigint")]
+    asked = [tags[0], F.when(F.col(loose[0]).isNotNull(), tags[1]) if loose else F.lit(None).cast("bigint")]
     parts = []
     for n in range(max(1, -(-total // block))):
-        rows = numbered.where(F.col("block") == n).select("query_id", embedding).collect()
-        rows = [r for r in rows if r[1]]
-        if not rows:
+        found = numbered.where(F.col("block") == n).select(F.col("query_id").cast("bigint"), embedding, asked[0].alias("a"), asked[1].alias("b")).toArrow()
+        ok, q = _flat(found.column(1))
+        if not len(ok):
             continue
-        ids = np.array([r[0] for r in rows if r[1] is not None], np.int64)
-        q = np.array([r[1] for r in rows if r[1] is not None], np.float64).reshape(len(ids), -1)
-        norm = np.linalg.norm(q, axis=1)
-        ids, q = ids[norm > 0], q[norm > 0] / norm[norm > 0][:, None]
-        sent = spark.sparkContext.broadcast((ids, q))
+        ids, firm_of = found.column(0).to_numpy()[ok], found.column(2).to_numpy()[ok]
+        loose_of = [found.column(3)[int(i)].as_py() for i in ok]
+        anywhere, loose_of = np.array([x is None for x in loose_of]), np.array([x or 0 for x in loose_of], np.int64)
+        q = q / np.linalg.norm(q, axis=1)[:, None]
+        sent = spark.sparkContext.broadcast((ids, q, firm_of, loose_of, anywhere))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            best_s = np.full((len(ids), 0), -2.0)
+            ids, q, firm_of, loose_of, anywhere = sent.value
+            best_s = np.full((len(ids), 0), -np.inf)
             best_i = np.zeros((len(ids), 0), np.int64)
             for batch in batches:
-                ok = [i for i, v in enumerate(batch.column(1)) if v.is_valid]
-                if not ok or not len(ids):
+                ok, x = _flat(batch.column(1))
+                if not len(ok) or x.shape[1] != q.shape[1]:
                     continue
-                x = np.array([batch.column(1)[i].as_py() for i in ok], np.float64)
                 rid = batch.column(0).to_numpy(zero_copy_only=False)[ok].astype(np.int64)
-                size = np.linalg.norm(x, axis=1)
-                x, rid = x[size > 0] / size[size > 0][:, None], rid[size > 0]
-                s = np.concatenate([best_s, np.round(q @ x.T, 6)], axis=1)
+                fits = firm_of[:, None] == batch.column(2).to_numpy()[ok][None]
+                fits &= anywhere[:, None] | (loose_of[:, None] == batch.column(3).to_numpy()[ok][None])
+                scores = np.where(fits, np.round(q @ (x / np.linalg.norm(x, axis=1)[:, None]).T, 6), -np.inf)
+                s = np.concatenate([best_s, scores], axis=1)
                 i = np.concatenate([best_i, np.broadcast_to(rid, (len(ids), len(rid)))], axis=1)
                 order = np.lexsort((i, -s), axis=1)[:, :k]
                 best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            n = best_s.shape[1] if len(ids) else 0
+            kept = np.isfinite(best_s)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()[: len(ids) * n]), pa.array(best_s.ravel()[: len(ids) * n])], ["query_id", "key", "score"]
+                [pa.array(np.repeat(ids, kept.sum(1))), pa.array(best_i[kept]), pa.array(best_s[kept])], ["query_id", "key", "score"]
             )
 
-        parts.append(vectors.select(F.col(key).cast("bigint"), embedding).mapInArrow(run, "query_id bigint, key bigint, score double"))
+        rows = vectors.select(F.col(key).cast("bigint"), embedding, tags[0].alias("a"), tags[1].alias("b"))
+        parts.append(rows.mapInArrow(run, "query_id bigint, key bigint, score double"))
     if not parts:
         return spark.createDataFrame([], f"query_id bigint, {key} bigint, score double, rank int")
     return top_k(reduce(DataFrame.unionByName, parts).withColumnRenamed("key", key), key, k)

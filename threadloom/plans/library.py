@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions import text as T
-from threadloom.operators import changes, corpus, graph, retrieval
+from threadloom.operators import changes, citations, corpus, graph, retrieval, search
 from threadloom.plans import answering
+from threadloom.runtime import materialize
 from threadloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -108,12 +109,12 @@ def fn_entities(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "fn_hash_fingerprint",
-    """SELECT chunk_key, sha256(concat_ws(chr(1), coalesce(chunk_id, ''), coalesce(thread_id, ''), coalesce(subject, ''), coalesce(text, ''))) AS fingerprint FROM email_chunks""",
+    """SELECT chunk_key, sha256('{"chunk_id":' || coalesce(to_json(chunk_id), 'null') || ',"subject":' || coalesce(to_json(subject), 'null') || ',"text":' || coalesce(to_json(text), 'null') || ',"thread_id":' || coalesce(to_json(thread_id), 'null') || '}') AS fingerprint FROM email_chunks""",
 )
 def fn_hash_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """Input fingerprint that decides whether a chunk must be enriched again."""
     c = table(spark, d, "email_chunks", "chunk_key", "chunk_id", "thread_id", "subject", "text")
-    return c.select("chunk_key", T.sha256(F.concat_ws("\x01", *[F.coalesce(x, F.lit("")) for x in ("chunk_id", "thread_id", "subject", "text")])).alias("fingerprint"))
+    return c.select("chunk_key", T.fingerprint("chunk_id", "thread_id", "subject", "text").alias("fingerprint"))
 
 
 @query(
@@ -222,13 +223,23 @@ def filter_date_range(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "email_messages", "msg_key", "sent_at").where(F.col("sent_at").between(lo, hi)).select("msg_key")
 
 
-@query("filter_check_violations", "SELECT mention_id FROM entity_mentions WHERE (source_start IS NULL) <> (source_end IS NULL) OR chunk_end < chunk_start OR entity_type NOT IN ('PERSON','ORG','PROJECT','MONEY','DATE','LOCATION','PRODUCT','EVENT','OTHER')")
+@query(
+    "filter_check_violations",
+    """
+    WITH m AS (SELECT mention_id, source_start, CASE WHEN mention_id % 10 = 3 THEN NULL ELSE source_end END AS source_end, chunk_start,
+                 CASE WHEN mention_id % 10 = 5 THEN chunk_start - 1 ELSE chunk_end END AS chunk_end, CASE WHEN mention_id % 10 = 7 THEN 'PLANET' ELSE entity_type END AS entity_type FROM entity_mentions)
+    SELECT mention_id, CASE WHEN (source_start IS NULL) <> (source_end IS NULL) THEN 'offsets' WHEN chunk_end < chunk_start THEN 'span'
+             WHEN entity_type NOT IN ('PERSON','ORG','PROJECT','TOPIC','DOCUMENT','MEETING','COMMITMENT','DATE','MONEY') THEN 'type' END AS broken
+    FROM m WHERE broken IS NOT NULL
+    """,
+)
 def filter_check_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions that break the table's checks; expected to be none."""
-    kinds = ("PERSON", "ORG", "PROJECT", "MONEY", "DATE", "LOCATION", "PRODUCT", "EVENT", "OTHER")
-    return table(spark, d, "entity_mentions").where(
-        (F.col("source_start").isNull() != F.col("source_end").isNull()) | (F.col("chunk_end") < F.col("chunk_start")) | ~F.col("entity_type").isin(*kinds)
-    ).select("mention_id")
+    """Mentions that break the table's checks, of a copy into which some of each kind were put."""
+    n = F.col("mention_id") % 10
+    m = table(spark, d, "entity_mentions").withColumns(
+        {"source_end": F.when(n != 3, F.col("source_end")), "chunk_end": F.when(n == 5, F.col("chunk_start") - 1).otherwise(F.col("chunk_end")), "entity_type": F.when(n == 7, "PLANET").otherwise(F.col("entity_type"))}
+    )
+    return graph.violations(m).select("mention_id", "broken")
 
 
 # --- joins --------------------------------------------------------------------
@@ -300,11 +311,16 @@ BM25_SQL = f"""
 """
 
 
-def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items", "item_id", "question", "text").select(F.col("item_id").alias("query_id"), F.coalesce("question", "text").alias("query_text"))
+
+
+def _hits(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, the k best by BM25, the k best by token recall) of every question."""
     c = table(spark, d, "email_chunks", "chunk_key", "embed_text", "text")
-    text = F.coalesce("embed_text", "text")
-    q = table(spark, d, "eval_items", "item_id", "question", "text").select(F.col("item_id").alias("query_id"), F.coalesce("question", "text").alias("query_text"))
-    return retrieval.bm25(c, q, "chunk_key", text), retrieval.token_recall(c, q, "chunk_key", text)
+    q = _questions(spark, d)
+    index = materialize(retrieval.postings(c, "chunk_key", F.coalesce("embed_text", "text")), "postings")
+    return index, search.lexical_top_k(index, c, q, "chunk_key", k, scoped=False), search.recall_top_k(index, q, "chunk_key", k, scoped=False)
 
 
 @query(
@@ -313,7 +329,7 @@ def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 )
 def topk_lexical(spark: SparkSession, d: str) -> DataFrame:
     """The 15 best chunks of every question by BM25."""
-    return retrieval.top_k(_hits(spark, d)[0], "chunk_key", 15).select("query_id", "chunk_key", "score", "rank")
+    return _hits(spark, d, 15)[1].select("query_id", "chunk_key", "score", "rank")
 
 
 @query(
@@ -326,7 +342,7 @@ def topk_lexical(spark: SparkSession, d: str) -> DataFrame:
 )
 def topk_fused(spark: SparkSession, d: str) -> DataFrame:
     """The 10 best chunks of every question after weighted reciprocal-rank fusion of two branches."""
-    lexical, recall = (retrieval.top_k(x, "chunk_key", 40) for x in _hits(spark, d))
+    _, lexical, recall = _hits(spark, d, 40)
     return retrieval.weighted_rrf({"lexical": (lexical, 1.0), "recall": (recall, 0.5)}, "chunk_key", limit=10)
 
 
@@ -344,13 +360,14 @@ def topk_fused(spark: SparkSession, d: str) -> DataFrame:
 )
 def topk_reranked(spark: SparkSession, d: str) -> DataFrame:
     """Five hits of every question after reranking by token recall, with their support."""
-    lexical, recall = _hits(spark, d)
-    hits = retrieval.min_max(retrieval.top_k(lexical, "chunk_key", 15), "score", "bm25_norm").join(
-        recall.withColumnRenamed("score", "rerank_score"), ["query_id", "chunk_key"], "left"
-    )
-    hits = retrieval.min_max(hits.fillna(0.0, ["rerank_score"]), "rerank_score", "rerank_norm").withColumn("dense_norm", F.lit(0.0))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rerank_norm", 6)), "rank")
-    return retrieval.support(hits).withColumn("place", F.row_number().over(order)).where("place <= 5").select("query_id", "chunk_key", "support", "place")
+    return _reranked(spark, d).where("place <= 5").select("query_id", "chunk_key", "support", "place")
+
+
+def _reranked(spark: SparkSession, d: str) -> DataFrame:
+    """The 15 lexical hits of every question in their reranked order, without a dense branch."""
+    hits = _hits(spark, d, 15)[1].withColumnRenamed("score", "bm25_score").withColumn("dense_score", F.lit(None).cast("double"))
+    texts = table(spark, d, "email_chunks", "chunk_key", "embed_text", "text").select("chunk_key", F.coalesce("embed_text", "text").alias("text"))
+    return search.reranked(hits.join(texts, "chunk_key").join(_questions(spark, d), "query_id"), 15)
 
 
 @query(
@@ -721,7 +738,7 @@ def filter_as_of(spark: SparkSession, d: str) -> DataFrame:
 )
 def set_first_seen(spark: SparkSession, d: str) -> DataFrame:
     """Ordered union of two routes' lists: first the one, then what the other adds."""
-    lexical, recall = (retrieval.top_k(x, "chunk_key", 5) for x in _hits(spark, d))
+    _, lexical, recall = _hits(spark, d, 5)
     routes = recall.select("query_id", "chunk_key", F.lit(0).alias("route"), "rank").unionByName(lexical.select("query_id", "chunk_key", F.lit(1).alias("route"), "rank"))
     seen = routes.groupBy("query_id", "chunk_key").agg(F.min(F.struct("route", "rank")).alias("seen"))
     return seen.select("query_id", "chunk_key", F.row_number().over(Window.partitionBy("query_id").orderBy("seen")).alias("place"))
@@ -729,15 +746,14 @@ def set_first_seen(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "agg_support",
-    ORACLES["topk_reranked"].replace("SELECT query_id, chunk_key, support, place::INT AS place FROM s WHERE place <= 5", "")
-    + " SELECT query_id, max(support) AS best, count(*) FILTER (support >= 0.55) AS supported, CASE WHEN count(*) FILTER (support >= 0.55) < 2 THEN 'insufficient_supported_chunks' WHEN max(support) < 0.7 THEN 'weak_support' END AS reason FROM s WHERE place <= 5 GROUP BY 1",
+    ORACLES["topk_reranked"].replace("SELECT query_id, chunk_key, support, place::INT AS place FROM s WHERE place <= 5", "").replace("AS support, row_number()", "AS support, rerank_norm, row_number()")
+    + """ SELECT query_id, max(support) AS top_support, round(max(rerank_norm), 6) AS top_rerank, count(*) FILTER (support >= 0.55) AS supported,
+            CASE WHEN count(*) FILTER (support >= 0.55) < 2 THEN 'insufficient_supported_chunks' WHEN max(rerank_norm) < 0.45 THEN 'top_rerank_below_threshold' END AS reason
+          FROM s WHERE place <= 5 GROUP BY 1""",
 )
 def agg_support(spark: SparkSession, d: str) -> DataFrame:
     """Support of every question's evidence and why it would not do."""
-    n = F.count_if(F.col("support") >= 0.55)
-    hits = topk_reranked(spark, d).groupBy("query_id").agg(F.max("support").alias("best"), n.alias("supported"))
-    reason = F.when(F.col("supported") < 2, "insufficient_supported_chunks").when(F.col("best") < 0.7, "weak_support")
-    return hits.select("query_id", "best", "supported", reason.alias("reason"))
+    return citations.evidence_reason(_reranked(spark, d).where("place <= 5")).select("query_id", "top_support", F.round("top_rerank", 6).alias("top_rerank"), "supported", "reason")
 
 
 @query(
@@ -763,25 +779,3 @@ def qa_plan(spark: SparkSession, d: str) -> DataFrame:
     """Routes, entity terms, subject terms and as-of day of every question."""
     q = table(spark, d, "eval_items", "item_id", "question", "text").select(F.col("item_id").alias("query_id"), F.coalesce("question", "text").alias("query_text"))
     return answering.plan_questions(q).drop("query_text")
-
-
-@query("qa_graph_branch")
-def qa_graph_branch(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks that mention an entity term of a question, ranked by the terms they hold."""
-    q = table(spark, d, "eval_items", "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    terms = answering.plan_questions(q).select("query_id", F.explode("entity_terms").alias("t")).select("query_id", F.lower("t").alias("normalized_name")).distinct()
-    m = table(spark, d, "entity_mentions", "normalized_name", "chunk_id").distinct()
-    hits = terms.join(m, "normalized_name").groupBy("query_id", "chunk_id").agg(F.count("*").alias("terms"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("terms"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where("rank <= 20")
-
-
-@query("qa_clause_citations")
-def qa_clause_citations(spark: SparkSession, d: str) -> DataFrame:
-    """The best of five retrieved chunks as evidence of every evaluation passage's sentences."""
-    sentences = F.posexplode(T.fragments(F.col("text")))
-    clauses = table(spark, d, "eval_items", "item_id", "text").select(F.col("item_id").alias("query_id"), sentences.alias("n", "clause")).where("clause <> ''")
-    clauses = clauses.select("query_id", F.concat_ws("-", "query_id", "n").alias("clause_id"), "clause")
-    hits = topk_reranked(spark, d).select("query_id", "chunk_key", F.col("place").alias("evidence_no"))
-    evidence = hits.join(table(spark, d, "email_chunks", "chunk_key", "chunk_id", "text"), "chunk_key").select("query_id", "chunk_id", "text", "evidence_no")
-    return answering.supported_clauses(clauses, evidence)

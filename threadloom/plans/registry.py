@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.operators import delivery_dedup
-from threadloom.plans import library
+from threadloom.plans import library, mailroom  # noqa: F401  each registers its queries
 from threadloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -26,12 +26,14 @@ def session(app: str = "threadloom", cores: str = "*", shuffle: int = 8) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests) a temporary one is set.
+    Only where a local session names none (tests) a temporary one is set; a cluster must name it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="threadloom-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
