@@ -218,7 +218,7 @@ def test_leaks_do_not_depend_on_the_size_of_blocks(spark, monkeypatch):
 def test_language_dictionaries_read_whole_texts(spark):
     rng = random.Random(5)
     texts = [(i, " ".join(rng.sample(EN, 3)), "en") for i in range(30)] + [(100 + i, " ".join(rng.sample(DE, 3)), "de") for i in range(30)]
-    filler = "job=1 ms=2\n" * 800  # the sentences stand after 8,000 characters
+    filler = "-----\n" * 1400  # the sentences stand after 8,000 characters
     fit = lambda rows: language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).content
     short = fit(texts)
     assert short and fit([(i, filler + t, c) for i, t, c in texts]) == short

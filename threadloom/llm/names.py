@@ -2,32 +2,35 @@
 
 1. Every distinct string of a scope (mailbox) is parsed: display name and address,
    title, department and legal form set apart, comma order undone, case and
-   diacritics folded. It gives *keys*: the family name of a person, the head word
-   of an organisation, its acronym and its run-together form, the name in an
-   address.
-2. Pigeonhole segment join: each distinct key of a scope is cut into k + 1 even
-   segments; substrings of the other keys, shifted by at most k, are looked up in
-   the inverted index of (length, segment number, segment), and a banded edit
-   distance verifies the pair. No pairs of keys are formed otherwise.
-3. Keys that are connected make a family. Within a family, full names (nicknames
-   resolved) found an entity each; misspellings, initials, abbreviations, reordered
-   and run-together forms, acronyms and addresses join the one entity they fit.
-   A name that fits several stays alone; two full names whose own spellings are
-   both confirmed by addresses stay apart, however close.
-
-Distinct strings are taken before anything is grouped, so a sender with a third of
-the mail is one row. A family holds the distinct spellings around one name.
+   diacritics folded. Strings that spell a whole name alike are one *spelling*: given
+   and family name of a person, the words of an organisation.
+2. Pigeonhole segment join: each whole spelling (also with the given names its short
+   form stands for, and for organisations with the head word and the initials of the
+   rest, in each rotation, and run together) is cut into even segments; substrings of
+   the others, shifted by the slips allowed, are looked up in the inverted index of
+   (scope, length, segment number, segment); a banded edit distance, and then the rules
+   of names, confirm each pair. No other pairs are formed.
+3. Confirmed pairs are connected to entities. Two spellings stay apart if their middle
+   initials differ, or if addresses confirm both; of neighbours that must stay apart a
+   spelling keeps the nearest.
+4. What isn't a whole name (initials, abbreviated or missing given names, short
+   addresses, acronyms, single words) joins the one entity it fits, and none if it fits
+   several. Each entity is registered under every handle it may be called by, with the
+   least and the greatest entity of a handle: one where both are equal.
+
+Everything is a join or an aggregation over rows of one spelling; no group is resolved in
+one task, so a name with thousands of spellings is as cheap as thousands of names.
 
 Defined results
   * null scope is a scope of its own, which is dropped; null and blank names are no names
   * repeated rows count as votes for the kind of a name, nothing else
-  * an empty table gives no families and no pairs; extra columns are ignored
+  * an empty table gives no entities and no pairs; extra columns are ignored
+  * a string with several parts (a display name and an address) ties their entities
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -94,24 +97,6 @@ def near(a: str, b: str) -> bool:
     return a == b or (min(len(a), len(b)) >= 4 and damerau(a, b, 1) <= 1)
 
 
-def _forms(word: str) -> set[str]:
-    """The word and what is left of it without one letter; words one slip apart share a form."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
-
-
-class _Near:
-    """Looks up the words ``near`` a word without comparing it with every one."""
-
-    def __init__(self, words):
-        self.by: dict[str, set[str]] = defaultdict(set)
-        for w in words:
-            for f in _forms(w):
-                self.by[f].add(w)
-
-    def of(self, word: str) -> list[str]:
-        return [w for w in set().union(*(self.by.get(f, ()) for f in _forms(word))) if near(w, word)]
-
-
 def given_fits(a: str, b: str) -> bool:
     """Two given names can be of one person: equal, or a short form of the other."""
     return a == b or b in SHORT_FORMS.get(a, ()) or a in SHORT_FORMS.get(b, ()) or bool(set(SHORT_FORMS.get(a, ())) & set(SHORT_FORMS.get(b, ())))
@@ -200,55 +185,52 @@ class Name:
         if len(parts) == 2 or all(len(p.strip(".")) == 1 for p in parts[1:]):
             self.readings.append((*given_and_middle(" ".join(parts[1:])), _joined(parts[0])))
 
-    def keys(self) -> list[tuple[str, bool]]:
-        """(key, main): a pair of keys can only meet if one of both is main."""
-        out = {}
-
-        def add(key: str, main: bool) -> None:
-            if len(key) >= 2:
-                out[key] = out.get(key, False) or main
+    def facts(self) -> list[tuple[str, str, str, str, int]]:
+        """(kind, a, b, c, n) of everything the string says.
 
+        F: given, family, middle of a whole name; R: the same of its other order (n: 0 if it has
+        none); Y: a family name whose place is certain; V, W: given name or initial, and family
+        of an address; S, I, P, U: family alone, initial (a) and middle (c), abbreviated given
+        name, short address, each with family b and the place n of the reading; O: words of an
+        organisation, raw words; A: acronym; D: head and tail of a domain.
+        """
+        out: list[tuple[str, str, str, str, int]] = []
+        full = False
+        for k, (given, middle, family) in enumerate(self.readings):
+            whole = len(given) > 1 and not given.endswith(".") and len(family) > 1
+            if k == 0 and whole:
+                out.append(("F", given, family, middle, 0))
+                full = True
+            if k == 1 and full:
+                out.append(("R", given, family, "", 1))
+        if len(self.readings) == 1:
+            out.append(("Y", "", self.readings[0][2], "", 0))
+        if self.user:
+            given, family, whole = self.user
+            out += [("Y", "", family, "", 0), ("V" if whole else "W", given, family, "", 0)]
+            if whole:
+                out.append(("F", given, family, "", 1))
+            else:
+                out.append(("U", given, family, "", 0))
+        if not full and not (self.user and not self.user[2]):
+            for k, (given, middle, family) in enumerate(self.readings):
+                if len(family) < 2 or (given and len(given) > 1 and not given.endswith(".")):
+                    continue
+                kind = "S" if not given else "P" if given.endswith(".") else "I"
+                out.append((kind, given.strip("."), family, middle, k if not (self.org and kind == "I") else k + 10))
         if self.org:
-            words = [w.strip(".") for w in self.org]
-            add("o:" + words[0], True)
-            for w in words[1:2]:
-                add("o:" + w, False)
-            if len(words) > 1:
-                add("o:" + "".join(words), False)
-                for raw in {tuple(words), self.org_raw}:
-                    add("a:" + "".join(w[0] for w in raw), False)
+            out.append(("O", " ".join(self.org), " ".join(self.org_raw), "", len(self.org)))
         if self.short:
-            add("a:" + self.short, True)
-        if self.org_domain:
-            add("o:" + self.org_domain[0], True)
-        for n, (_, _, family) in enumerate(self.readings):
-            if len(family) >= 2:
-                add("p:" + family, n == 0)
-        if self.user:
-            add("p:" + self.user[1], True)
-        return list(out.items())
+            out.append(("A", self.short, "", "", 0))
+        if self.org_domain and not self.org:
+            out.append(("D", *self.org_domain, "", 0))
+        return out
 
 
 def _joined(family: str) -> str:
     return re.sub(r"[^a-z0-9]", "", fold(family))
 
 
-class _Union:
-    def __init__(self):
-        self.up: dict = {}
-
-    def find(self, x):
-        self.up.setdefault(x, x)
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a, b) -> None:
-        a, b = sorted((self.find(a), self.find(b)))
-        self.up[b] = a
-
-
 def _word_fits(a: str, b: str) -> int:
     """Slips between two words of organisation names: 0, 1, or 9 for different words."""
     x, y = a.strip("."), b.strip(".")
@@ -276,205 +258,55 @@ def org_fits(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     return False
 
 
-def resolve(names: list[Name]) -> dict[str, int]:
-    """Entity number of each text of one family; texts that fit no other stand alone."""
-    names = sorted(names, key=lambda n: n.text)  # the result must not depend on the order of rows
-    u = _Union()
-    _persons(names, u)
-    _organisations(names, u)
-    ids: dict = {}
-    return {n.text: ids.setdefault(u.find(("t", n.text)), len(ids)) for n in sorted(names, key=lambda n: n.text)}
+def pair_cost(ga: str, fa: str, gb: str, fb: str) -> int | None:
+    """Slips between two whole names of one person; None if they can't be one."""
+    if not near(fa, fb):
+        return None
+    fits = given_fits(ga, gb)
+    if not fits and (not near(ga, gb) or (ga in SHORT_FORMS and gb in SHORT_FORMS)):
+        return None
+    return (fa != fb) + (not fits)
 
 
-def _persons(names: list[Name], u: _Union) -> None:
-    full_users = {(n.user[0], n.user[1]) for n in names if n.user and n.user[2]}
-    short_users = {(n.user[0], n.user[1]) for n in names if n.user and not n.user[2]}
-    # full names in their first reading found groups; a second reading only joins
-    groups: dict[tuple[str, str], dict] = {}
+def longer_forms(given: str) -> list[str]:
+    """A given name and those it is a short form of."""
+    return [given, *SHORT_FORMS.get(given, ())]
 
-    def group(given: str, family: str) -> dict:
-        return groups.setdefault((given, family), {"middles": set(), "texts": set()})
 
-    later = []
-    for n in names:
-        full = False
-        for k, (given, middle, family) in enumerate(n.readings):
-            if len(given) > 1 and not given.endswith(".") and len(family) > 1:
-                if k == 0:
-                    g = group(given, family)
-                    g["texts"].add(n.text)
-                    full = True
-                    if middle:
-                        g["middles"].add(middle)
-        if n.user and n.user[2]:
-            group(n.user[0], n.user[1])["texts"].add(n.text)
-        if not full or (n.user and not n.user[2]):
-            later.append(n)
-    # a reversed two-word name joins the group of its other order, where the order of that
-    # one is certain: from a comma, a middle initial, or an address
-    sure = {r[2] for n in names if len(n.readings) == 1 for r in n.readings} | {n.user[1] for n in names if n.user}
-    of_family = defaultdict(list)
-    for k in groups:
-        if k[1] in sure:
-            of_family[k[1]].append(k)
-    sure_families = _Near(of_family)
-    for n in names:
-        if len(n.readings) == 2 and n.readings[0][2] not in sure:
-            (g0, _, f0), (g1, _, f1) = n.readings
-            hits = [k for f in sure_families.of(f1) for k in of_family[f] if k in groups and k != (g0, f0) and (given_fits(k[0], g1) or near(k[0], g1))]
-            own = groups.get((g0, f0))
-            if hits and own and own["texts"] == {n.text}:
-                best = min(hits, key=lambda k: (k[1] != f1, not given_fits(k[0], g1), k))
-                groups[best]["texts"].add(n.text)
-                del groups[(g0, f0)]
-    for key, g in groups.items():
-        for t in g["texts"]:
-            u.join(("g", *key), ("t", t))
-
-    def backed(key: tuple[str, str]) -> bool:
-        """An address confirms the spelling of this family name."""
-        return any(f == key[1] and given_fits(g, key[0]) for g, f in full_users) or (
-            any(f == key[1] and key[0][:1] == i for i, f in short_users)
-        )
-
-    def apart(a: tuple[str, str], b: tuple[str, str]) -> bool:
-        ma, mb = groups[a]["middles"], groups[b]["middles"]
-        if ma and mb and not ma & mb:
-            return True
-        return a[1] != b[1] and backed(a) and backed(b)
-
-    keys = sorted(groups)
-    by_family = defaultdict(list)
-    for k in keys:
-        by_family[k[1]].append(k)
-    families = _Near(by_family)
-    close = [(a, b) for a in by_family for b in families.of(a) if a <= b]
-    pairs = []
-    for fa, fb in close:
-        for a in by_family[fa]:
-            for b in by_family[fb]:
-                if fa == fb and a >= b:
-                    continue
-                cost = (fa != fb) + (0 if given_fits(a[0], b[0]) else 1)
-                if cost == 0 or given_fits(a[0], b[0]) or near(a[0], b[0]) and not (a[0] in SHORT_FORMS and b[0] in SHORT_FORMS):
-                    pairs.append((cost, a, b))
-    members = {k: {k} for k in keys}
-    where = {k: k for k in keys}
-    for _, a, b in sorted(pairs):
-        ra, rb = where[a], where[b]
-        if ra == rb or any(apart(x, y) for x in members[ra] for y in members[rb]):
-            continue
-        for x in members[rb]:
-            where[x] = ra
-        members[ra] |= members.pop(rb)
-        u.join(("g", *a), ("g", *b))
-
-    def fitting(family: str, test) -> set:
-        """Entities of the nearest family names that pass."""
-        for those in (lambda: [family], lambda: families.of(family)):
-            found = {u.find(("g", *k)) for f in those() for k in by_family.get(f, ()) if test(k)}
-            if found:
-                return found
-        return set()
-
-    def initial(i: str, middle: str):
-        return lambda k: k[0][:1] == i and (not middle or not _middles(k) or middle in _middles(k))
-
-    def _middles(k) -> set:
-        r = where[k]
-        return set().union(*(groups[x]["middles"] for x in members[r]))
-
-    loose: dict[tuple[str, str], list[str]] = defaultdict(list)
-    for n in later:
-        found: set = set()
-        mark = ("t", n.text)
-        if n.user and not n.user[2]:
-            i, family, _ = n.user
-            displays = [r for r in n.readings if r[2]]
-            entity = fitting(family, initial(i, ""))
-            if len(entity) > 1 and displays:
-                own = {u.find(("g", g, f)) for g, _, f in displays if (g, f) in groups}
-                entity = entity & own or entity
-            if len(entity) == 1:
-                # an address and its display name are one person
-                u.join(mark, next(iter(entity)))
-            elif not entity:
-                loose[(i, family)].append(n.text)
-            continue
-        for given, middle, family in n.readings:
-            if len(family) < 2 or (given and len(given) > 1 and not given.endswith(".")):
-                continue
-            if not given:
-                test = lambda k: True
-            elif given.endswith("."):
-                test = lambda k, p=given.strip("."): k[0].startswith(p) or any(f.startswith(p) for f in SHORT_FORMS.get(k[0], ()))
-            else:
-                test = initial(given, middle)
-            found = fitting(family, test)
-            if found:
-                break
-        if len(found) == 1:
-            u.join(mark, next(iter(found)))
-        elif not found and n.readings and not n.org:
-            given, _, family = n.readings[0]
-            if given and len(given) == 1:
-                loose[(given, family)].append(n.text)
-    for texts in loose.values():  # initials and addresses without any full name
-        for t in texts[1:]:
-            u.join(("t", texts[0]), ("t", t))
-
-
-def _organisations(names: list[Name], u: _Union) -> None:
-    orgs = sorted({n.org for n in names if n.org})
-    # a person's name with a wrong type stays with the person
-    grouped: dict[tuple, list[Name]] = defaultdict(list)
-    for n in names:
-        if n.org:
-            grouped[n.org].append(n)
-    for o, ns in grouped.items():
-        for n in ns:
-            u.join(("o", *o), ("t", n.text))
-    several = [o for o in orgs if len(o) > 1]
-    for i, a in enumerate(several):
-        for b in several[i + 1 :]:
-            if org_fits(a, b):
-                u.join(("o", *a), ("o", *b))
-    for o in orgs:
-        if len(o) == 1:
-            runs = {u.find(("o", *m)) for m in several if org_fits(o, m)}
-            heads = runs or {u.find(("o", *m)) for m in several if m[0].strip(".") == o[0].strip(".")}
-            heads = heads or {u.find(("o", *m)) for m in several if near(m[0].strip("."), o[0].strip("."))}
-            if len(heads) == 1:
-                u.join(("o", *o), next(iter(heads)))
-    for n in names:
-        if n.short:
-            fits = set()
-            for m in names:
-                if len(m.org) > 1 and n.short in {"".join(w[0] for w in m.org), "".join(w[0] for w in m.org_raw)}:
-                    fits.add(u.find(("o", *m.org)))
-            if len(fits) == 1:
-                u.join(("t", n.text), next(iter(fits)))
-        if n.org_domain and not n.org:
-            head, tail = n.org_domain
-            fits = {u.find(("o", *o)) for o in several if o[0].strip(".") == head and any(w.startswith(tail) for w in o[1:])}
-            if not fits:
-                fits = {u.find(("o", *o)) for o in several if near(o[0].strip("."), head) and any(w[:3] == tail[:3] for w in o[1:])}
-            if len(fits) == 1:
-                u.join(("t", n.text), next(iter(fits)))
-    shorts = defaultdict(list)
-    for n in names:
-        if n.short:
-            shorts[n.short].append(n.text)
-    for texts in shorts.values():
-        for t in texts[1:]:
-            u.join(("t", texts[0]), ("t", t))
-    bare = defaultdict(list)
-    for n in names:
-        if n.org_domain:
-            bare[n.org_domain].append(n.text)
-    for texts in bare.values():
-        for t in texts[1:]:
-            u.join(("t", texts[0]), ("t", t))
+def handles(given: str, family: str, middles: list[str]) -> list[str]:
+    """What an incomplete name of this person may be: see ``wanted``."""
+    out = {f"S {family}", f"I {given[0]} {family}", *(f"I {given[0]} {m} {family}" for m in middles or ["-"])}
+    for full in longer_forms(given):
+        out |= {f"P {full[:n]} {family}" for n in range(1, len(full) + 1)}
+    return sorted(out)
+
+
+def wanted(kind: str, given: str, middle: str, family: str) -> list[str]:
+    """Handles of the entities an incomplete name fits."""
+    if kind == "S":
+        return [f"S {family}"]
+    if kind == "P":
+        return [f"P {given} {family}"]
+    return [f"I {given} {middle} {family}", f"I {given} - {family}"] if middle else [f"I {given[0]} {family}"]
+
+
+def org_forms(org: str) -> list[str]:
+    """Whole forms of an organisation that abbreviation leaves alone: head and initials in each rotation, and run together."""
+    w = [x.strip(".") for x in org.split(" ")]
+    if len(w) == 1:
+        return ["=" + w[0]]
+    turns = [w, [w[-1], *w[:-1]], [*w[1:], w[0]]]
+    return list(dict.fromkeys([*(t[0] + " " + "".join(x[:1] for x in t[1:]) for t in turns), "=" + "".join(w)]))
+
+
+def org_handles(org: str, raw: str) -> list[str]:
+    """What an organisation of several words may be called by: head word, acronyms, domain."""
+    words = org.split(" ")
+    head = words[0].strip(".")
+    out = {f"H {head}", f"D {head} ", *("A " + "".join(w[0] for w in x.split(" ")) for x in (org, raw) if x)}
+    for w in words[1:]:
+        out |= {f"D {head} {w[:n]}" for n in range(1, len(w) + 1)} | {f"E {head} {w[:3]}"}
+    return sorted(out)
 
 
 # --- Spark side -------------------------------------------------------------
@@ -495,157 +327,292 @@ def distinct_names(mentions: DataFrame, messages: DataFrame, scope: str = "mailb
     )
 
 
-@F.pandas_udf(ArrayType(StructType().add("key", StringType()).add("main", BooleanType())))
-def _keys(name: pd.Series, org_votes: pd.Series, person_votes: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
-            [{"key": k, "main": m} for k, m in Name(n, o, p).keys()]
-            for n, o, p in zip(name, org_votes, person_votes)
-        ]
-    )
+_FACT = StructType().add("kind", StringType()).add("a", StringType()).add("b", StringType()).add("c", StringType()).add("n", IntegerType())
+_WORDS = ArrayType(StringType())
+
+
+@F.pandas_udf(ArrayType(_FACT))
+def _facts(name: pd.Series, org_votes: pd.Series, person_votes: pd.Series) -> pd.Series:
+    keys = ("kind", "a", "b", "c", "n")
+    return pd.Series([[dict(zip(keys, f)) for f in Name(n, o, p).facts()] for n, o, p in zip(name, org_votes, person_votes)])
+
+
+@F.pandas_udf(_WORDS)
+def _whole_forms(given: pd.Series, family: pd.Series) -> pd.Series:
+    return pd.Series([[f"{x} {f}" for x in longer_forms(g)] for g, f in zip(given, family)])
 
 
-@F.pandas_udf(ArrayType(StructType().add("name", StringType()).add("entity", IntegerType())))
-def _resolved(people: pd.Series) -> pd.Series:
-    out = []
-    for group in people:
-        if len(group) == 1:
-            out.append([{"name": group[0]["name"], "entity": 0}])
-            continue
-        entities = resolve([Name(p["name"], p["org_votes"], p["person_votes"]) for p in group])
-        out.append([{"name": n, "entity": e} for n, e in entities.items()])
-    return pd.Series(out)
+@F.pandas_udf(_WORDS)
+def _longer(given: pd.Series) -> pd.Series:
+    return given.map(longer_forms)
+
+
+@F.pandas_udf(IntegerType())
+def _cost(ga: pd.Series, fa: pd.Series, gb: pd.Series, fb: pd.Series) -> pd.Series:
+    return pd.Series([pair_cost(*x) for x in zip(ga, fa, gb, fb)], dtype="Int32")
+
+
+@F.pandas_udf(BooleanType())
+def _orgs_fit(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([org_fits(tuple(x.split(" ")), tuple(y.split(" "))) for x, y in zip(a, b)], dtype=bool)
 
 
 @F.pandas_udf(BooleanType())
-def _within_one(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([damerau(x, y, 1) <= 1 for x, y in zip(a, b)], dtype=bool)
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([near(x, y) for x, y in zip(a, b)], dtype=bool)
+
+
+@F.pandas_udf(_WORDS)
+def _handles(given: pd.Series, family: pd.Series, middles: pd.Series) -> pd.Series:
+    return pd.Series([handles(g, f, list(m)) for g, f, m in zip(given, family, middles)])
+
 
+@F.pandas_udf(_WORDS)
+def _wanted(kind: pd.Series, given: pd.Series, middle: pd.Series, family: pd.Series) -> pd.Series:
+    return pd.Series([wanted(*x) for x in zip(kind, given, middle, family)])
 
-def segment_join(keys: DataFrame, scope: str) -> DataFrame:
-    """(scope, a, b): keys of a scope one slip apart, by the pigeonhole principle.
 
-    A slip (a swap is two plain edits) leaves one of three even segments of the
-    shorter key's partner intact, at most two places away.
+@F.pandas_udf(_WORDS)
+def _org_forms(org: pd.Series) -> pd.Series:
+    return org.map(org_forms)
+
+
+@F.pandas_udf(_WORDS)
+def _org_handles(org: pd.Series, raw: pd.Series) -> pd.Series:
+    return pd.Series([org_handles(o, r) for o, r in zip(org, raw)])
+
+
+def segment_join(left: DataFrame, right: DataFrame, scope: str, slips: int = 1) -> DataFrame:
+    """(scope, left, right, l, r): strings of a scope at most ``slips`` slips apart, by the pigeonhole principle.
+
+    left and right: scope, id, s. A slip is at most two plain edits (a swap), so ``slips``
+    of them leave one of 2 slips + 1 even segments of the right string intact, at most
+    ``slips`` places away in the left one. The distance is verified in a band; strings
+    shorter than their number of segments meet only their equals.
     """
-    k = 2
-    long = keys.select(scope, "key", "main", F.length("key").alias("n")).where("n >= 6")  # two of them are the prefix
-    part = F.explode(F.sequence(F.lit(0), F.lit(k)))
-    begin = lambda n, s: F.floor(n * s / (k + 1)).cast("int")
+    parts = 2 * slips + 1
+    begin = lambda n, k: F.floor(n * k / parts).cast("int")
+    cut = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    at, length = begin(F.col("m"), F.col("k")), begin(F.col("m"), F.col("k") + 1)
     index = (
-        long.withColumn("s", part)
-        .withColumn("at", begin(F.col("n"), F.col("s")))
-        .withColumn("len", begin(F.col("n"), F.col("s") + 1) - F.col("at"))
-        .select(scope, F.col("key").alias("b"), F.col("main").alias("main_b"), F.col("n").alias("m"), "s", F.substring("key", F.col("at") + 1, F.col("len")).alias("seg"))
+        right.select(scope, F.col("id").alias("right"), F.col("s").alias("r"), F.length("s").alias("m"), cut.alias("k"))
+        .select(scope, "right", "r", F.hash("m", "k", F.substring(F.col("r"), at + 1, length - at)).alias("seg"), (length - at).alias("size"))
+        .where("size > 0")
+        .drop("size")
     )
+    near_length = F.explode(F.sequence(F.greatest(F.col("n") - slips, F.lit(1)), F.col("n") + slips))
+    shift = F.explode(F.sequence(F.lit(-slips), F.lit(slips)))
     probe = (
-        long.withColumn("m", F.explode(F.sequence(F.greatest(F.col("n") - 1, F.lit(6)), F.col("n") + 1)))
-        .withColumn("s", part)
-        .withColumn("at", begin(F.col("m"), F.col("s")))
-        .withColumn("len", begin(F.col("m"), F.col("s") + 1) - F.col("at"))
-        .withColumn("shift", F.explode(F.sequence(F.lit(-k), F.lit(k))))
-        .where((F.col("at") + F.col("shift") >= 0) & (F.col("at") + F.col("shift") + F.col("len") <= F.col("n")))
-        .select(scope, F.col("key").alias("a"), F.col("main").alias("main_a"), "m", "s", F.substring("key", F.col("at") + F.col("shift") + 1, F.col("len")).alias("seg"))
+        left.select(scope, F.col("id").alias("left"), F.col("s").alias("l"), F.length("s").alias("n"))
+        .select("*", near_length.alias("m"))
+        .select("*", cut.alias("k"))
+        .select("*", shift.alias("shift"))
+        .where((at + F.col("shift") >= 0) & (length + F.col("shift") <= F.col("n")) & (length > at))
+        .select(scope, "left", "l", F.hash("m", "k", F.substring(F.col("l"), at + F.col("shift") + 1, length - at)).alias("seg"))
+        .distinct()
     )
     return (
-        probe.join(index, [scope, "m", "s", "seg"])
-        .where((F.col("a") < F.col("b")) & (F.col("main_a") | F.col("main_b")) & (F.substring("a", 1, 2) == F.substring("b", 1, 2)) & ~F.col("a").startswith("a:"))
-        .select(scope, "a", "b")
+        probe.join(index, [scope, "seg"])
+        .where(F.levenshtein("l", "r", 2 * slips) >= 0)
+        .select(scope, "left", "right", "l", "r")
         .distinct()
-        .where(_within_one("a", "b"))
     )
 
 
-def families(keys: DataFrame, edges: DataFrame, scope: str, rounds: int = 30) -> DataFrame:
-    """(scope, key, family): connected keys, by labels that sink to the smallest key.
+def connected(edges: DataFrame, scope: str) -> DataFrame:
+    """(scope, id, label): the least id of each id's component, for ids that have an edge (a, b).
 
-    Each round also follows the label's own label, so a chain of n keys takes about
-    log n rounds; the loop ends when no label moves.
+    Each round takes the least label around and that label's own label, so a chain of n ids
+    takes about log n rounds; the loop ends when no label moves, and not before.
     """
-    both = materialize(edges.unionByName(edges.select(scope, F.col("b").alias("a"), F.col("a").alias("b"))), "name-edges")
-    labels = materialize(both.select(scope, F.col("a").alias("key")).distinct().withColumn("family", F.col("key")), "name-labels")
-    for _ in range(rounds):
-        lowest = (
-            both.join(labels.select(scope, F.col("key").alias("b"), F.col("family").alias("other")), [scope, "b"])
-            .groupBy(scope, F.col("a").alias("key"))
-            .agg(F.min("other").alias("other"))
-        )
-        stepped = labels.join(lowest, [scope, "key"], "left").select(
-            scope, "key", F.col("family").alias("was"), F.least("family", F.coalesce("other", "family")).alias("family")
-        )
-        jump = stepped.select(scope, F.col("key").alias("family"), F.col("family").alias("next"))
-        moved = materialize(
-            stepped.join(jump, [scope, "family"], "left").select(
-                scope, "key", F.least("family", F.coalesce("next", "family")).alias("family"), "was"
-            ),
-            "name-labels",
-        )
-        labels = moved.select(scope, "key", "family")
-        if moved.where("was <> family").isEmpty():
-            break
-    return keys.select(scope, "key").distinct().join(labels, [scope, "key"], "left").select(
-        scope, "key", F.coalesce("family", "key").alias("family")
-    )
+    both = materialize(edges.select(scope, "a", "b").unionByName(edges.select(scope, F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "name-edges")
+    labels = both.groupBy(scope, F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("label"))
+    labels = materialize(labels, "name-labels")
+    while True:
+        around = both.join(labels.select(scope, F.col("id").alias("b"), F.col("label").alias("other")), [scope, "b"]).groupBy(scope, F.col("a").alias("id")).agg(F.min("other").alias("other"))
+        stepped = labels.join(around, [scope, "id"]).select(scope, "id", F.col("label").alias("was"), F.least("label", "other").alias("label"))
+        jump = labels.select(scope, F.col("id").alias("label"), F.col("label").alias("next"))
+        moved = materialize(stepped.join(jump, [scope, "label"], "left").select(scope, "id", F.least("label", F.coalesce("next", "label")).alias("label"), "was"), "name-labels")
+        labels = moved.select(scope, "id", "label")
+        if moved.where("was <> label").isEmpty():
+            return labels
 
 
-def link_names(names: DataFrame, scope: str = "mailbox_id", family_limit: int | None = None) -> DataFrame:
-    """(scope, family, entity, name): the entity of each spelling within a family.
+def _labelled(nodes: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
+    """(nodes..., entity): the component of each node; a node without an edge is its own."""
+    found = connected(edges, scope).withColumnRenamed("label", "entity")
+    return nodes.join(found, [scope, "id"], "left").withColumn("entity", F.coalesce("entity", "id"))
 
-    A string may stand in two families (a display name and an unlike address); its
-    pairs come from both. Every family is resolved whole, of whatever size, in one task.
-    ``family_limit`` is accepted for callers that still pass it and has no effect.
+
+def _only(rows: DataFrame, by: list[str], least: str = "lo", most: str = "hi") -> DataFrame:
+    """(by..., lo, hi): the least and the greatest entity of each group."""
+    return rows.groupBy(*by).agg(F.min(least).alias("lo"), F.max(most).alias("hi"))
+
+
+def person_spellings(facts: DataFrame, scope: str) -> DataFrame:
+    """(scope, name, g, f, m): the whole name of each string that has one.
+
+    A name in two words whose family name nobody confirms is read in its other order, where
+    that is near a name whose order is certain: from a comma, a middle initial, or an address.
     """
-    keyed = materialize(
-        names.select(scope, "name", "org_votes", "person_votes", F.explode(_keys("name", "org_votes", "person_votes")).alias("k")).select(
-            scope, "name", "org_votes", "person_votes", "k.key", "k.main"
-        ),
-        "name-keys",
+    full = facts.where("kind = 'F'").select(scope, "name", F.col("a").alias("g"), F.col("b").alias("f"), F.col("c").alias("m"), "n")
+    sure = facts.where("kind = 'Y' and length(b) > 1").select(scope, F.col("b").alias("f")).distinct()
+    alone = full.groupBy(scope, "g", "f").agg(F.count_distinct("name").alias("texts")).where("texts = 1").select(scope, "g", "f")
+    unsure = full.where("n = 0").join(alone, [scope, "g", "f"], "left_semi").join(sure, [scope, "f"], "left_anti").select(scope, "name", F.concat_ws(" ", "g", "f").alias("own"))
+    turned = facts.where("kind = 'R'").select(scope, "name", F.col("a").alias("g1"), F.col("b").alias("f1")).join(unsure, [scope, "name"])
+    certain = full.join(sure, [scope, "f"], "left_semi").select(scope, "g", "f").distinct()
+    forms = certain.select(scope, F.concat_ws(" ", "g", "f").alias("id"), F.explode(_whole_forms("g", "f")).alias("s"))
+    asked = turned.select(scope, F.concat_ws(" ", "g1", "f1").alias("id"), F.explode(_whole_forms("g1", "f1")).alias("s")).distinct()
+    met = segment_join(asked, forms, scope, 2).select(scope, F.split("left", " ").alias("x"), F.split("right", " ").alias("y"), "left", "right").distinct()
+    cost = _cost(F.get("x", F.lit(0)), F.get("x", F.lit(1)), F.get("y", F.lit(0)), F.get("y", F.lit(1)))
+    fits = met.withColumn("cost", cost).where("cost is not null").select(scope, "left", F.struct((F.get("x", F.lit(1)) != F.get("y", F.lit(1))).alias("slip"), "cost", F.col("right").alias("to")).alias("best"))
+    moved = (
+        turned.withColumn("left", F.concat_ws(" ", "g1", "f1")).join(fits, [scope, "left"]).where("best.to <> own").groupBy(scope, "name").agg(F.min("best").alias("best"))
+        .select(scope, "name", F.split("best.to", " ").alias("to"))
+    )
+    kept = full.join(moved.select(scope, "name", F.lit(0).alias("n")), [scope, "name", "n"], "left_anti").select(scope, "name", "g", "f", "m")
+    return kept.unionByName(moved.select(scope, "name", F.get("to", F.lit(0)).alias("g"), F.get("to", F.lit(1)).alias("f"), F.lit("").alias("m")))
+
+
+def person_entities(spelled: DataFrame, facts: DataFrame, scope: str) -> DataFrame:
+    """(scope, id, g, f, entity, middles): the entity of every whole name, and the middle initials of it."""
+    middles = F.sort_array(F.collect_set(F.when(F.col("m") != "", F.col("m"))))
+    nodes = spelled.groupBy(scope, "g", "f").agg(middles.alias("ms")).withColumn("id", F.concat_ws(" ", "g", "f"))
+    # an address confirms the spelling of a family name
+    users = facts.where("kind = 'V'").select(scope, F.col("b").alias("f"), F.explode(_longer("a")).alias("x")).distinct()
+    initials = facts.where("kind = 'W'").select(scope, F.col("b").alias("f"), F.col("a").alias("i")).distinct()
+    long = nodes.select(scope, "id", "f", F.explode(_longer("g")).alias("x"))
+    backed = long.join(users, [scope, "f", "x"]).select(scope, "id").unionByName(nodes.withColumn("i", F.substring("g", 1, 1)).join(initials, [scope, "f", "i"]).select(scope, "id")).distinct()
+    nodes = materialize(nodes.join(backed.withColumn("backed", F.lit(True)), [scope, "id"], "left").withColumn("backed", F.coalesce("backed", F.lit(False))), "name-spellings")
+    forms = nodes.select(scope, "id", F.explode(_whole_forms("g", "f")).alias("s"))
+    pairs = segment_join(forms, forms, scope, 2).where("left < right").select(scope, "left", "right").distinct()
+    side = lambda c: nodes.select(scope, F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("g", "f", "ms", "backed")])
+    apart = lambda a, b: (
+        ((F.size(f"{a}_ms") > 0) & (F.size(f"{b}_ms") > 0) & ~F.arrays_overlap(f"{a}_ms", f"{b}_ms")) | ((F.col(f"{a}_f") != F.col(f"{b}_f")) & F.col(f"{a}_backed") & F.col(f"{b}_backed"))
     )
-    keys = keyed.groupBy(scope, "key").agg(F.bool_or("main").alias("main"))
-    near_keys = segment_join(keys, scope)
-    # names tie their own main keys together: the family name and that of the address
-    # an acronym ties to the head words it may stand for
-    heads = keyed.where(F.col("main") & F.col("key").startswith("o:")).select(scope, "name", F.col("key").alias("a"))
-    acronyms = keyed.where(~F.col("main") & F.col("key").startswith("a:")).join(
-        keyed.where(F.col("main") & F.col("key").startswith("a:")).select(scope, "key").distinct(), [scope, "key"], "left_semi"
-    )
-    via_acronym = heads.join(acronyms.select(scope, "name", F.col("key").alias("b")), [scope, "name"]).select(scope, "a", "b").distinct()
-    mains = keyed.where("main and key not like 'a:%'").select(scope, "name", "key")
-    own = (
-        mains.groupBy(scope, "name")
-        .agg(F.sort_array(F.collect_set("key")).alias("ks"))
-        .where(F.size("ks") > 1)
-        .select(scope, F.element_at("ks", 1).alias("a"), F.explode(F.slice("ks", 2, 10)).alias("b"))
-        .distinct()
-    )
-    # a side key (other order, run-together form) ties where it is somebody's main key
-    main_keys = keys.where("main").select(scope, "key")
-    side = (
-        keyed.where("not main and key not like 'a:%'")
-        .join(main_keys, [scope, "key"], "left_semi")
-        .join(mains.select(scope, "name", F.col("key").alias("m")), [scope, "name"])
-        .select(scope, F.least("key", "m").alias("a"), F.greatest("key", "m").alias("b"))
-        .where("a <> b")
-        .distinct()
+    near_pairs = (
+        pairs.join(side("left"), [scope, "left"]).join(side("right"), [scope, "right"]).withColumn("cost", _cost("left_g", "left_f", "right_g", "right_f")).where("cost is not null").where(~apart("left", "right"))
     )
-    edges = materialize(near_keys.unionByName(via_acronym).unionByName(own).unionByName(side), "name-links")
-    family = families(keys, edges, scope)
-    placed = keyed.where("main").join(family, [scope, "key"])
-    grouped = placed.select(scope, "family", "name", "org_votes", "person_votes").distinct()
-    # as many partitions as the session shuffles into: resolving costs far more than its few bytes tell
+    links = materialize(near_pairs.select(scope, F.col("left").alias("a"), F.col("right").alias("b"), "cost"), "name-links")
+    # of neighbours that must stay apart a spelling keeps the nearest
+    both = links.unionByName(links.select(scope, F.col("b").alias("a"), F.col("a").alias("b"), "cost"))
+    nearest = both.groupBy(scope, "a").agg(F.min(F.struct("cost", "b")).alias("best"), F.count("*").alias("n")).where("n > 1").select(scope, "a", F.col("best.b").alias("first"))
+    rivals = both.join(nearest, [scope, "a"]).where("b <> first").join(side("b"), [scope, "b"]).join(side("first"), [scope, "first"]).where(apart("b", "first"))
+    gone = rivals.select(scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    placed = _labelled(nodes.select(scope, "id", "g", "f", "ms"), links.join(gone, [scope, "a", "b"], "left_anti"), scope)
+    known = placed.groupBy(scope, "entity").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ms")))).alias("middles"))
+    return placed.drop("ms").join(known, [scope, "entity"])
+
+
+def _by_handle(asked: DataFrame, held: DataFrame, scope: str, by: list[str]) -> DataFrame:
+    """(by..., lo, hi): entities registered under any of the handles asked for."""
+    return _only(asked.join(held, [scope, "handle"]), by)
+
+
+def incomplete_persons(facts: DataFrame, entities: DataFrame, own: DataFrame, scope: str) -> DataFrame:
+    """(scope, name, label): the entity of each incomplete name that fits just one, or a label that it
+    shares with the same initial and family name where it fits none.
+
+    Family names are met as they are, and only where that gives nothing within one slip.
+    """
+    each = materialize(entities.select(scope, "entity", "g", "f", F.explode(_handles("g", "f", "middles")).alias("handle")).select(scope, "handle", "entity", "f").distinct(), "name-handles")
+    held = _only(each.withColumn("lo", F.col("entity")).withColumn("hi", F.col("entity")), [scope, "handle"])
+    part = materialize(facts.where("kind in ('S', 'I', 'P', 'U') and length(b) > 1").select(scope, "name", "kind", F.col("a").alias("i"), F.col("b").alias("f"), F.col("c").alias("m"), "n"), "part-names")
+    by = [scope, "name", "kind", "n"]
+    exact = _by_handle(part.select(*by, F.explode(_wanted("kind", "i", "m", "f")).alias("handle")), held, scope, by)
+    rest = part.join(exact.select(*by), by, "left_anti")
+    families = entities.select(scope, F.col("f").alias("id"), F.col("f").alias("s")).distinct()
+    asked = rest.select(scope, F.col("f").alias("id"), F.col("f").alias("s")).distinct()
+    close = segment_join(asked, families, scope, 1).where("left <> right").where(_near("left", "right")).select(scope, F.col("left").alias("f"), F.col("right").alias("near_f"))
+    slipped = _by_handle(rest.join(close, [scope, "f"]).select(*by, F.explode(_wanted("kind", "i", "m", "near_f")).alias("handle")), held, scope, by)
+    hits = materialize(exact.unionByName(slipped), "part-hits")
+    first = hits.groupBy(scope, "name").agg(F.min_by(F.struct("kind", "lo", "hi"), "n").alias("h")).select(scope, "name", "h.*")
+    one = first.where("lo = hi").select(scope, "name", F.concat(F.lit("p "), "lo").alias("label"))
+    # a short address that fits several is of the one its own display name is of
+    several = first.where("lo <> hi and kind = 'U'").join(part.where("kind = 'U'").select(scope, "name", F.concat(F.lit("I "), "i", F.lit(" "), "f").alias("handle")), [scope, "name"])
+    mine = several.join(own, [scope, "name"]).join(each.select(scope, "handle", "entity"), [scope, "handle", "entity"])
+    settled = _only(mine.withColumn("lo", F.col("entity")).withColumn("hi", F.col("entity")), [scope, "name"]).where("lo = hi").select(scope, "name", F.concat(F.lit("p "), "lo").alias("label"))
+    loose = part.where("kind = 'U' or (kind = 'I' and n = 0 and length(i) = 1)").join(first.select(scope, "name"), [scope, "name"], "left_anti")
+    return one.unionByName(settled).unionByName(loose.select(scope, "name", F.concat(F.lit("l "), "i", F.lit(" "), "f").alias("label")))
+
+
+def organisations(facts: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
+    """((scope, name, label), (scope, a, b)): the label of every organisation's string, and labels that are one."""
+    o = facts.where("kind = 'O'").select(scope, "name", F.col("a").alias("org"), F.col("b").alias("raw"), "n")
+    nodes = materialize(o.groupBy(scope, "org", "n").agg(F.collect_set("raw").alias("raws")), "organisations")
+    forms = nodes.select(scope, F.col("org").alias("id"), "n", F.explode(_org_forms("org")).alias("s"))
+    many = forms.where("n > 1").drop("n")
+    pairs = segment_join(many, many, scope, 1).where("left < right").select(scope, "left", "right").distinct().where(_orgs_fit("left", "right"))
+    placed = materialize(_labelled(nodes.where("n > 1").select(scope, F.col("org").alias("id"), "raws"), pairs.select(scope, F.col("left").alias("a"), F.col("right").alias("b")), scope), "organisation-entities")
+    held = placed.select(scope, "entity", F.explode("raws").alias("raw"), "id").select(scope, "entity", F.explode(_org_handles("id", "raw")).alias("handle")).distinct()
+    held = materialize(_only(held.withColumn("lo", F.col("entity")).withColumn("hi", F.col("entity")), [scope, "handle"]), "organisation-handles")
+    heads = held.where("handle like 'H %'").select(scope, F.substring("handle", 3, 1 << 20).alias("id")).withColumn("s", F.col("id"))
+
+    def tiers(*levels: DataFrame) -> DataFrame:
+        """(scope, key, lo, hi) of the first level that has a key."""
+        ranked = None
+        for n, level in enumerate(levels):
+            part = level.select(scope, "key", F.struct(F.lit(n).alias("level"), "lo", "hi").alias("t"))
+            ranked = part if ranked is None else ranked.unionByName(part)
+        best = ranked.groupBy(scope, "key").agg(F.min("t.level").alias("level"))
+        return _only(ranked.select(scope, "key", "t.*").join(best, [scope, "key", "level"]), [scope, "key"])
+
+    # one word: run together from several, else their head, else near their head
+    single = nodes.where("n = 1").select(scope, F.col("org").alias("id"), F.regexp_replace("org", r"\.$", "").alias("word")).distinct()
+    runs = segment_join(forms.where("n = 1").drop("n"), many.where("s like '=%'"), scope, 1).where(_orgs_fit("left", "right")).select(scope, F.col("left").alias("key"), F.col("right").alias("id"))
+    runs = runs.join(placed.select(scope, "id", F.col("entity").alias("lo"), F.col("entity").alias("hi")), [scope, "id"])
+    named = single.select(scope, F.col("id").alias("key"), F.concat(F.lit("H "), "word").alias("handle")).join(held, [scope, "handle"])
+    words = single.select(scope, F.col("word").alias("id"), F.col("word").alias("s")).distinct()
+    close = segment_join(words, heads, scope, 1).where("left <> right").where(_near("left", "right")).select(scope, F.col("left").alias("word"), F.concat(F.lit("H "), "right").alias("handle"))
+    slipped = single.join(close, [scope, "word"]).select(scope, F.col("id").alias("key"), "handle").join(held, [scope, "handle"])
+    joined = tiers(_only(runs, [scope, "key"]), _only(named, [scope, "key"]), _only(slipped, [scope, "key"])).where("lo = hi")
+    one_word = joined.select(scope, F.concat(F.lit("o "), "key").alias("a"), F.concat(F.lit("o "), "lo").alias("b"))
+    # acronyms
+    short = facts.where("kind = 'A'").select(scope, "name", F.col("a").alias("short"))
+    acronyms = short.select(scope, F.concat(F.lit("A "), "short").alias("handle")).distinct().join(held, [scope, "handle"]).where("lo = hi")
+    # domains: head word and the beginning of another word, else a near head and three letters of it
+    domain = facts.where("kind = 'D'").select(scope, "name", F.col("a").alias("head"), F.col("b").alias("tail"))
+    wanted_domains = domain.select(scope, "head", "tail").distinct().withColumn("key", F.concat(F.lit("D "), "head", F.lit(" "), "tail"))
+    by_name = wanted_domains.select(scope, "key", F.col("key").alias("handle")).join(held, [scope, "handle"])
+    near_heads = segment_join(wanted_domains.select(scope, F.col("head").alias("id"), F.col("head").alias("s")).distinct(), heads, scope, 1).where(_near("left", "right")).select(scope, F.col("left").alias("head"), "right")
+    by_near = wanted_domains.join(near_heads, [scope, "head"]).select(scope, "key", F.concat(F.lit("E "), "right", F.lit(" "), F.substring("tail", 1, 3)).alias("handle")).join(held, [scope, "handle"])
+    domains = tiers(_only(by_name, [scope, "key"]), _only(by_near, [scope, "key"])).where("lo = hi")
+    labels = (
+        o.join(placed.select(scope, F.col("id").alias("org"), "entity"), [scope, "org"], "left").select(scope, "name", F.concat(F.lit("o "), F.coalesce("entity", "org")).alias("label"))
+        .unionByName(short.select(scope, "name", F.concat(F.lit("A "), "short").alias("label")))
+        .unionByName(domain.select(scope, "name", F.concat(F.lit("D "), "head", F.lit(" "), "tail").alias("label")))
+    )
+    ties = one_word.unionByName(acronyms.select(scope, F.col("handle").alias("a"), F.concat(F.lit("o "), "lo").alias("b"))).unionByName(domains.select(scope, F.col("key").alias("a"), F.concat(F.lit("o "), "lo").alias("b")))
+    return labels, ties
+
+
+def link_names(names: DataFrame, scope: str = "mailbox_id") -> DataFrame:
+    """(scope, entity, name): the entity of each spelling; one that fits no other is its own."""
+    # as many partitions as the session shuffles into: parsing costs far more than its bytes tell
     parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    family_names = (
-        grouped.repartition(parts, scope, "family")
-        .groupBy(scope, "family")
-        .agg(F.collect_list(F.struct("name", "org_votes", "person_votes")).alias("people"))
+    facts = materialize(
+        names.select(scope, "name", "org_votes", "person_votes").repartition(parts, scope, "name").select(scope, "name", F.explode_outer(_facts("name", "org_votes", "person_votes")).alias("x")).select(scope, "name", "x.*"), "name-facts"
     )
-    resolved = family_names.select(scope, "family", F.explode(_resolved("people")).alias("r"))
-    return resolved.select(scope, "family", "r.entity", "r.name")
+    spelled = materialize(person_spellings(facts, scope), "whole-names")
+    people = materialize(person_entities(spelled, facts, scope), "name-entities")
+    own = spelled.join(people.select(scope, "g", "f", "entity"), [scope, "g", "f"]).select(scope, "name", "entity").distinct()
+    orgs, ties = organisations(facts, scope)
+    labels = materialize(own.select(scope, "name", F.concat(F.lit("p "), "entity").alias("label")).unionByName(incomplete_persons(facts, people, own, scope)).unionByName(orgs).distinct(), "name-to-label")
+    # a string with several labels ties them
+    least = labels.groupBy(scope, "name").agg(F.min("label").alias("a"))
+    tied = labels.join(least, [scope, "name"]).where("label <> a").select(scope, "a", F.col("label").alias("b")).unionByName(ties)
+    whole = connected(tied, scope).select(scope, F.col("id").alias("a"), "label")
+    return (
+        names.select(scope, "name").distinct()
+        .join(least, [scope, "name"], "left")
+        .join(whole, [scope, "a"], "left")
+        .select(scope, F.coalesce("label", "a", F.concat(F.lit("n "), "name")).alias("entity"), "name")
+    )
 
 
 def linked_pairs(linked: DataFrame, scope: str = "mailbox_id") -> DataFrame:
     """(scope, name_a, name_b): every two spellings of one entity, name_a < name_b by code point."""
-    many = linked.groupBy(scope, "family", "entity").agg(F.sort_array(F.collect_set("name")).alias("ns")).where("size(ns) > 1")
+    many = linked.groupBy(scope, "entity").agg(F.sort_array(F.collect_set("name")).alias("ns")).where("size(ns) > 1")
     return (
         many.select(scope, F.posexplode("ns").alias("i", "name_a"), "ns")
         .select(scope, "name_a", F.explode(F.slice("ns", F.col("i") + 2, F.size("ns"))).alias("name_b"))
@@ -659,5 +626,5 @@ def canonical_names(linked: DataFrame, names: DataFrame, scope: str = "mailbox_i
     scored = linked.join(names, [scope, "name"]).withColumn(
         "rank", F.struct((~F.col("name").contains("@")).cast("int"), votes, F.length("name"), "name")
     )
-    best = scored.groupBy(scope, "family", "entity").agg(F.max_by("name", "rank").alias("canonical_name"))
-    return linked.join(best, [scope, "family", "entity"]).groupBy(scope, "name").agg(F.min("canonical_name").alias("canonical_name"))
+    best = scored.groupBy(scope, "entity").agg(F.max_by("name", "rank").alias("canonical_name"))
+    return linked.join(best, [scope, "entity"]).select(scope, "name", "canonical_name")
