@@ -463,7 +463,7 @@ def person_spellings(facts: DataFrame, scope: str) -> DataFrame:
     certain = full.join(sure, [scope, "f"], "left_semi").select(scope, "g", "f").distinct()
     forms = certain.select(scope, F.concat_ws(" ", "g", "f").alias("id"), F.explode(_whole_forms("g", "f")).alias("s"))
     asked = turned.select(scope, F.concat_ws(" ", "g1", "f1").alias("id"), F.explode(_whole_forms("g1", "f1")).alias("s")).distinct()
-    met = segment_join(asked, forms, scope, 2).select(scope, F.split("left", " ").alias("x"), F.split("right", " ").alias("y"), "left", "right").distinct()
+    met = materialize(segment_join(asked, forms, scope, 2), "turned-names").select(scope, F.split("left", " ").alias("x"), F.split("right", " ").alias("y"), "left", "right").distinct()
     cost = _cost(F.get("x", F.lit(0)), F.get("x", F.lit(1)), F.get("y", F.lit(0)), F.get("y", F.lit(1)))
     fits = met.withColumn("cost", cost).where("cost is not null").select(scope, "left", F.struct((F.get("x", F.lit(1)) != F.get("y", F.lit(1))).alias("slip"), "cost", F.col("right").alias("to")).alias("best"))
     moved = (
@@ -485,7 +485,7 @@ def person_entities(spelled: DataFrame, facts: DataFrame, scope: str) -> DataFra
     backed = long.join(users, [scope, "f", "x"]).select(scope, "id").unionByName(nodes.withColumn("i", F.substring("g", 1, 1)).join(initials, [scope, "f", "i"]).select(scope, "id")).distinct()
     nodes = materialize(nodes.join(backed.withColumn("backed", F.lit(True)), [scope, "id"], "left").withColumn("backed", F.coalesce("backed", F.lit(False))), "name-spellings")
     forms = nodes.select(scope, "id", F.explode(_whole_forms("g", "f")).alias("s"))
-    pairs = segment_join(forms, forms, scope, 2).where("left < right").select(scope, "left", "right").distinct()
+    pairs = materialize(segment_join(forms, forms, scope, 2).where("left < right").select(scope, "left", "right").distinct(), "spelling-pairs")
     side = lambda c: nodes.select(scope, F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("g", "f", "ms", "backed")])
     apart = lambda a, b: (
         ((F.size(f"{a}_ms") > 0) & (F.size(f"{b}_ms") > 0) & ~F.arrays_overlap(f"{a}_ms", f"{b}_ms")) | ((F.col(f"{a}_f") != F.col(f"{b}_f")) & F.col(f"{a}_backed") & F.col(f"{b}_backed"))
@@ -519,7 +519,8 @@ def incomplete_persons(facts: DataFrame, entities: DataFrame, own: DataFrame, sc
     held = _only(each.withColumn("lo", F.col("entity")).withColumn("hi", F.col("entity")), [scope, "handle"])
     part = materialize(facts.where("kind in ('S', 'I', 'P', 'U') and length(b) > 1").select(scope, "name", "kind", F.col("a").alias("i"), F.col("b").alias("f"), F.col("c").alias("m"), "n"), "part-names")
     by = [scope, "name", "kind", "n"]
-    exact = _by_handle(part.select(*by, F.explode(_wanted("kind", "i", "m", "f")).alias("handle")), held, scope, by)
+    held = materialize(held, "handle-entities")
+    exact = materialize(_by_handle(part.select(*by, F.explode(_wanted("kind", "i", "m", "f")).alias("handle")), held, scope, by), "part-hits")
     rest = part.join(exact.select(*by), by, "left_anti")
     families = entities.select(scope, F.col("f").alias("id"), F.col("f").alias("s")).distinct()
     asked = rest.select(scope, F.col("f").alias("id"), F.col("f").alias("s")).distinct()
@@ -532,6 +533,7 @@ def incomplete_persons(facts: DataFrame, entities: DataFrame, own: DataFrame, sc
     several = first.where("lo <> hi and kind = 'U'").join(part.where("kind = 'U'").select(scope, "name", F.concat(F.lit("I "), "i", F.lit(" "), "f").alias("handle")), [scope, "name"])
     mine = several.join(own, [scope, "name"]).join(each.select(scope, "handle", "entity"), [scope, "handle", "entity"])
     settled = _only(mine.withColumn("lo", F.col("entity")).withColumn("hi", F.col("entity")), [scope, "name"]).where("lo = hi").select(scope, "name", F.concat(F.lit("p "), "lo").alias("label"))
+    settled = materialize(settled, "settled-names")
     loose = part.where("kind = 'U' or (kind = 'I' and n = 0 and length(i) = 1)").join(first.select(scope, "name"), [scope, "name"], "left_anti")
     return one.unionByName(settled).unionByName(loose.select(scope, "name", F.concat(F.lit("l "), "i", F.lit(" "), "f").alias("label")))
 
@@ -552,20 +554,20 @@ def organisations(facts: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
         """(scope, key, lo, hi) of the first level that has a key."""
         ranked = None
         for n, level in enumerate(levels):
-            part = level.select(scope, "key", F.struct(F.lit(n).alias("level"), "lo", "hi").alias("t"))
+            part = level.select(scope, "key", F.lit(n).alias("level"), "lo", "hi")
             ranked = part if ranked is None else ranked.unionByName(part)
-        best = ranked.groupBy(scope, "key").agg(F.min("t.level").alias("level"))
-        return _only(ranked.select(scope, "key", "t.*").join(best, [scope, "key", "level"]), [scope, "key"])
+        best = ranked.groupBy(scope, "key").agg(F.min(F.struct("level", "lo")).alias("least"), F.max(F.struct(F.negative("level").alias("first"), "hi")).alias("most"))
+        return best.select(scope, "key", "least.lo", "most.hi")
 
     # one word: run together from several, else their head, else near their head
     single = nodes.where("n = 1").select(scope, F.col("org").alias("id"), F.regexp_replace("org", r"\.$", "").alias("word")).distinct()
     runs = segment_join(forms.where("n = 1").drop("n"), many.where("s like '=%'"), scope, 1).where(_orgs_fit("left", "right")).select(scope, F.col("left").alias("key"), F.col("right").alias("id"))
-    runs = runs.join(placed.select(scope, "id", F.col("entity").alias("lo"), F.col("entity").alias("hi")), [scope, "id"])
+    runs = materialize(runs.join(placed.select(scope, "id", F.col("entity").alias("lo"), F.col("entity").alias("hi")), [scope, "id"]).select(scope, "key", "lo", "hi"), "run-together")
     named = single.select(scope, F.col("id").alias("key"), F.concat(F.lit("H "), "word").alias("handle")).join(held, [scope, "handle"])
     words = single.select(scope, F.col("word").alias("id"), F.col("word").alias("s")).distinct()
     close = segment_join(words, heads, scope, 1).where("left <> right").where(_near("left", "right")).select(scope, F.col("left").alias("word"), F.concat(F.lit("H "), "right").alias("handle"))
-    slipped = single.join(close, [scope, "word"]).select(scope, F.col("id").alias("key"), "handle").join(held, [scope, "handle"])
-    joined = tiers(_only(runs, [scope, "key"]), _only(named, [scope, "key"]), _only(slipped, [scope, "key"])).where("lo = hi")
+    slipped = single.join(materialize(close, "near-words"), [scope, "word"]).select(scope, F.col("id").alias("key"), "handle").join(held, [scope, "handle"])
+    joined = tiers(runs, named, slipped).where("lo = hi")
     one_word = joined.select(scope, F.concat(F.lit("o "), "key").alias("a"), F.concat(F.lit("o "), "lo").alias("b"))
     # acronyms
     short = facts.where("kind = 'A'").select(scope, "name", F.col("a").alias("short"))
@@ -575,15 +577,15 @@ def organisations(facts: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
     wanted_domains = domain.select(scope, "head", "tail").distinct().withColumn("key", F.concat(F.lit("D "), "head", F.lit(" "), "tail"))
     by_name = wanted_domains.select(scope, "key", F.col("key").alias("handle")).join(held, [scope, "handle"])
     near_heads = segment_join(wanted_domains.select(scope, F.col("head").alias("id"), F.col("head").alias("s")).distinct(), heads, scope, 1).where(_near("left", "right")).select(scope, F.col("left").alias("head"), "right")
-    by_near = wanted_domains.join(near_heads, [scope, "head"]).select(scope, "key", F.concat(F.lit("E "), "right", F.lit(" "), F.substring("tail", 1, 3)).alias("handle")).join(held, [scope, "handle"])
-    domains = tiers(_only(by_name, [scope, "key"]), _only(by_near, [scope, "key"])).where("lo = hi")
+    by_near = wanted_domains.join(materialize(near_heads, "near-heads"), [scope, "head"]).select(scope, "key", F.concat(F.lit("E "), "right", F.lit(" "), F.substring("tail", 1, 3)).alias("handle")).join(held, [scope, "handle"])
+    domains = materialize(tiers(by_name, by_near).where("lo = hi"), "domains")
     labels = (
         o.join(placed.select(scope, F.col("id").alias("org"), "entity"), [scope, "org"], "left").select(scope, "name", F.concat(F.lit("o "), F.coalesce("entity", "org")).alias("label"))
         .unionByName(short.select(scope, "name", F.concat(F.lit("A "), "short").alias("label")))
         .unionByName(domain.select(scope, "name", F.concat(F.lit("D "), "head", F.lit(" "), "tail").alias("label")))
     )
     ties = one_word.unionByName(acronyms.select(scope, F.col("handle").alias("a"), F.concat(F.lit("o "), "lo").alias("b"))).unionByName(domains.select(scope, F.col("key").alias("a"), F.concat(F.lit("o "), "lo").alias("b")))
-    return labels, ties
+    return materialize(labels, "organisation-labels"), materialize(ties, "organisation-ties")
 
 
 def link_names(names: DataFrame, scope: str = "mailbox_id") -> DataFrame:
