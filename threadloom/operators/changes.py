@@ -34,6 +34,19 @@ def cursors(events: DataFrame, key: str, sequence: str) -> DataFrame:
     return events.groupBy(key).agg(F.max(F.coalesce(F.expr(f"try_cast({sequence} as decimal(20,0))"), F.lit(0).cast("decimal(20,0)"))).alias("cursor"))
 
 
+def running_max(events: DataFrame, key: str, at: str, tie: str, value: str, block: int = 3600) -> DataFrame:
+    """Events with ``cursor``: the greatest value of the key up to the event, in order of (at, tie), null times last.
+
+    Windows hold one block of ``block`` seconds of a key; what came before is a running
+    maximum over one row a block, so a key with a third of all events is no single task.
+    """
+    rows = events.withColumn("_block", F.coalesce(F.floor(F.unix_seconds(at) / block), F.lit(1 << 60)))
+    inside = Window.partitionBy(key, "_block").orderBy(F.col(at).asc_nulls_last(), tie).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(key, "_block").agg(F.max(value).alias("_top")).select(key, "_block", F.max("_top").over(before).alias("_before"))
+    return rows.withColumn("_here", F.max(value).over(inside)).join(blocks, [key, "_block"]).withColumn("cursor", F.greatest("_here", "_before")).drop("_block", "_here", "_before")
+
+
 def pending(candidates: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work that no fingerprint in ``done`` covers."""
     return candidates.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.window import Window
 
+from threadloom.functions.text import base64url
 from threadloom.operators.changes import net_changes
 
 MAILBOX = "mailbox_key bigint, tenant_id string, mailbox_id string, email_address string, status string, last_history_id decimal(20,0), error string, watch_expires_at timestamp"
@@ -20,6 +21,25 @@ JOB = "job_id bigint, mailbox_key bigint, requested_history_id decimal(20,0), st
 LIVE = ("pending", "active", "needs_full_sync", "error")
 
 
+def reject_reason(body: Column) -> Column:
+    """Why a push body is refused; null if it names an address, a history id and a message."""
+    whole = F.try_parse_json(body)
+    ident = F.coalesce(F.get_json_object(body, "$.message.messageId"), F.get_json_object(body, "$.message.message_id"))
+    data = F.get_json_object(body, "$.message.data")
+    inner = base64url(data)
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    return (
+        F.when(blank(body), "no_body")
+        .when(whole.isNull(), "not_json")
+        .when(blank(ident), "no_message_id")
+        .when(blank(data), "no_data")
+        .when(inner.isNull(), "not_base64")
+        .when(F.try_parse_json(inner).isNull(), "data_not_json")
+        .when(blank(F.get_json_object(inner, "$.emailAddress")), "no_address")
+        .when(F.get_json_object(inner, "$.historyId").try_cast("decimal(20,0)").isNull(), "no_history_id")
+    )
+
+
 def live_notifications(notifications: DataFrame, mailboxes: DataFrame) -> DataFrame:
     """Notifications of addresses that have a live mailbox, with its key, scope and status."""
     live = mailboxes.where(F.col("status").isin(*LIVE)).select("mailbox_key", "tenant_id", "mailbox_id", F.col("status").alias("mailbox_status"), F.lower("email_address").alias("email_address"))

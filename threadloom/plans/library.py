@@ -551,9 +551,8 @@ def stream_cursor(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_running_cursor", "SELECT delivery_id, (max(history_id) OVER (PARTITION BY email_address ORDER BY received_at, delivery_id))::VARCHAR AS cursor FROM gmail_notifications WHERE email_address IS NOT NULL")
 def stream_running_cursor(spark: SparkSession, d: str) -> DataFrame:
     """Cursor after each notification: late ones never rewind it."""
-    w = Window.partitionBy("email_address").orderBy("received_at", "delivery_id").rowsBetween(Window.unboundedPreceding, 0)
     n = table(spark, d, "gmail_notifications", "delivery_id", "email_address", "history_id", "received_at").where("email_address is not null")
-    return n.select("delivery_id", F.max("history_id").over(w).cast("string").alias("cursor"))
+    return changes.running_max(n, "email_address", "received_at", "delivery_id", "history_id").select("delivery_id", F.col("cursor").cast("string"))
 
 
 @query("dml_upsert_messages", "SELECT msg_key FROM (SELECT msg_key, row_number() OVER (PARTITION BY tenant_id, mailbox_id, message_id ORDER BY ingested_at DESC NULLS LAST, msg_key DESC) AS n FROM email_messages) WHERE n = 1")

@@ -168,7 +168,7 @@ def _values_sql(x: str) -> str:
     "fn_value_match",
     f"""
     WITH t AS (SELECT chunk_id, arg_min(text, chunk_key) AS text FROM email_chunks GROUP BY 1),
-    m AS (SELECT mention_id, {_values_sql("coalesce(canonical_name, '')")} AS a, {_values_sql("coalesce(text, '')")} AS b FROM entity_mentions JOIN t USING (chunk_id))
+    m AS (SELECT mention_id, {_values_sql("regexp_replace(coalesce(canonical_name, ''), '[^ -~[:space:]]', 'x', 'g')")} AS a, {_values_sql("regexp_replace(coalesce(text, ''), '[^ -~[:space:]]', 'x', 'g')")} AS b FROM entity_mentions JOIN t USING (chunk_id))
     SELECT mention_id, len(a)::INT AS stated, round(CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(a)::DOUBLE END, 6)::DOUBLE AS share FROM m
     """,
 )
@@ -176,7 +176,7 @@ def fn_value_match(spark: SparkSession, d: str) -> DataFrame:
     """How many values the canonical name of every mention states, and the share its chunk states too."""
     c = table(spark, d, "email_chunks", "chunk_id", "chunk_key", "text").groupBy("chunk_id").agg(F.min_by("text", "chunk_key").alias("text"))
     m = table(spark, d, "entity_mentions", "mention_id", "chunk_id", "canonical_name").join(c, "chunk_id")
-    name, text = F.coalesce("canonical_name", F.lit("")), F.coalesce("text", F.lit(""))
+    name, text = (F.regexp_replace(F.coalesce(c, F.lit("")), r"[^ -~\s]", "x") for c in ("canonical_name", "text"))  # both engines agree on ASCII word bounds
     return m.select("mention_id", F.size(T.stated_values(name)).alias("stated"), F.round(T.value_match(name, text), 6).alias("share"))
 
 
@@ -406,3 +406,21 @@ def stream_failed_jobs(spark: SparkSession, d: str) -> DataFrame:
     both = jobs.unionByName(newer)
     after = sync.failed(both, both.where("status = 'running'").select("job_id", F.lit("timeout").alias("error")))
     return after.select("job_id", "requested_history_id", "status")
+
+
+@query(
+    "scan_rejected_notifications",
+    r"""
+    WITH p AS (SELECT delivery_id, push_body, CASE WHEN json_valid(push_body) THEN json_extract_string(push_body, '$.message.data') END AS data,
+        CASE WHEN json_valid(push_body) THEN coalesce(json_extract_string(push_body, '$.message.messageId'), json_extract_string(push_body, '$.message.message_id')) END AS ident FROM gmail_notifications),
+    q AS (SELECT *, translate(translate(data, '-_', '+/'), '=', '') AS raw FROM p),
+    j AS (SELECT *, CASE WHEN regexp_full_match(raw, '[A-Za-z0-9+/]*') AND length(raw) % 4 <> 1 THEN decode(from_base64(raw || substr('===', 1, ((4 - length(raw) % 4) % 4)::INT))) END AS body FROM q),
+    r AS (SELECT delivery_id, CASE WHEN coalesce(push_body, '') = '' THEN 'no_body' WHEN NOT json_valid(push_body) THEN 'not_json' WHEN coalesce(ident, '') = '' THEN 'no_message_id' WHEN coalesce(data, '') = '' THEN 'no_data' WHEN body IS NULL THEN 'not_base64'
+        WHEN NOT json_valid(body) THEN 'data_not_json' WHEN coalesce(json_extract_string(body, '$.emailAddress'), '') = '' THEN 'no_address' WHEN TRY_CAST(json_extract_string(body, '$.historyId') AS DECIMAL(20,0)) IS NULL THEN 'no_history_id' END AS reason FROM j)
+    SELECT delivery_id, reason FROM r WHERE reason IS NOT NULL
+    """,
+)
+def scan_rejected_notifications(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries whose push body can't be decoded, and why."""
+    rows = table(spark, d, "gmail_notifications", "delivery_id", "push_body")
+    return rows.select("delivery_id", sync.reject_reason(F.col("push_body")).alias("reason")).where("reason is not null")
